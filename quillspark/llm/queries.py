@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quillspark.llm import langid, personal
 from quillspark.llm.leaks import leaked_items
 from quillspark.llm.neardup import group_pairs, near_duplicate_groups
 from quillspark.llm.neighbours import nearest_neighbours, similar_pairs
 from quillspark.llm.split import split_items
 from quillspark.llm.tokenize import encode_corpus
-from quillspark.session import table, tokenizer_dir
+from quillspark.session import materialize, table, tokenizer_dir
 
 
 def _groups(spark, sf):
@@ -35,6 +36,35 @@ def p4_pieces(spark, sf):
     return both.dropDuplicates(["item_kind", "item_id", "chunk_index"]).select("item_kind", "item_id", "document_id", "chunk_index", "content")
 
 
+def _personal(spark, sf, of):
+    slack, ratings = table(spark, sf, "slack_messages"), table(spark, sf, "kb_ratings")
+    return of(slack, "slack_messages", "message_id", "text"), of(ratings, "kb_ratings", "id", "feedback")
+
+
+def p6_found(spark, sf):
+    a, b = _personal(spark, sf, personal.personal_items)
+    return a.unionByName(b).select("table_name", "row_id", "kind", "start_pos").distinct()
+
+
+def p6_replaced(spark, sf):
+    """Placeholders in the text."""
+    a, b = _personal(spark, sf, personal.replace_items)
+    return a.unionByName(b)
+
+
+def p6_surrogates(spark, sf):
+    """Keyed surrogates in the text; an entity has the same one in both tables."""
+    a, b = _personal(spark, sf, personal.personal_items)
+    names = materialize(personal.surrogate_table(a.unionByName(b), b"quillspark"), "entities")
+    a, b = _personal(spark, sf, lambda *x: personal.replace_items(*x, surrogates=names))
+    return a.unionByName(b)
+
+
+def _segments(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "lang", "text")
+    return materialize(langid.segments(docs, langid.train(table(spark, sf, "lang_samples"), docs)), "segments")
+
+
 def queries():
     vectors = lambda spark, sf: table(spark, sf, "kb_embeddings").select("chunk_id", "embedding")
     return {
@@ -44,6 +74,12 @@ def queries():
         "p3_groups": _groups,
         "p4_found": p4_found,
         "p4_pieces": p4_pieces,
+        "p6_found": p6_found,
+        "p6_replaced": p6_replaced,
+        "p6_surrogates": p6_surrogates,
+        "p9_found": lambda spark, sf: langid.label_cases(_segments(spark, sf)),
+        "p9_segments": _segments,
+        "p9_documents": lambda spark, sf: langid.document_languages(_segments(spark, sf)),
         "p7_ids": lambda spark, sf: encode_corpus(table(spark, sf, "documents"), "doc_id", "text", f"{tokenizer_dir()}/byte_bpe_50k.tiktoken"),
         "p8_found": lambda spark, sf: leaked_items(table(spark, sf, "documents"), table(spark, sf, "eval_items")),
     }

@@ -13,6 +13,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.session import spread
+
 #: Fixed value: the pattern that splits texts before the merges of the vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -172,4 +174,4 @@ def encode_corpus(df: DataFrame, id_col: str, text_col: str, ranks_path: str, ba
                 flat, ends = encoder.encode_batch(batch.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))], names=[id_col, "ids"])
 
-    return rows.mapInArrow(run, f"{id_col} {rows.schema[0].dataType.simpleString()}, ids array<int>")
+    return spread(rows).mapInArrow(run, f"{id_col} {rows.schema[0].dataType.simpleString()}, ids array<int>")
