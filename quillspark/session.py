@@ -95,6 +95,12 @@ def partitions_for(rows: int, rows_each: int, spark: SparkSession) -> int:
     return max(spark.sparkContext.defaultParallelism, -(-rows // max(1, rows_each)))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` on as many tasks as there are cores, where its few files would leave cores idle under heavy work."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(2 * cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+
+
 def tokenizer_dir() -> str:
     """Where the public vocabulary files lie; ``QUILLSPARK_TOKENIZERS`` overrides it."""
     return os.environ.get("QUILLSPARK_TOKENIZERS", "/opt/tokenizers")
