@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quillspark.llm import langid, personal
 from quillspark.llm.leaks import leaked_items
+from quillspark.llm.linkage import History, repeated_records
 from quillspark.llm.neardup import group_pairs, near_duplicate_groups
 from quillspark.llm.neighbours import nearest_neighbours, similar_pairs
 from quillspark.llm.split import split_items
@@ -18,6 +19,23 @@ def _groups(spark, sf):
     return near_duplicate_groups(docs, "id", F.concat_ws(" ", F.coalesce("title", F.lit("")), "content"), threshold=0.6, width=3, long_width=8)
 
 
+def _deliveries(spark, sf, with_clusters):
+    """The history built from the earlier half of the batches, then the later half delivered to it."""
+    docs = table(spark, sf, "kb_documents").select("id", F.col("sync_id").alias("batch"), "title", "content", "url")
+    middle = docs.agg(F.percentile_approx("batch", 0.5).alias("m")).first()["m"]
+    history = History(spark)
+    first = history.accept(docs.where(F.col("batch") <= F.lit(middle)), with_clusters)
+    return history, first.unionByName(history.accept(docs.where((F.col("batch") > F.lit(middle)) | F.col("batch").isNull()), with_clusters))
+
+
+def p2_found(spark, sf):
+    return _deliveries(spark, sf, False)[1].where("batch_a <> batch_b").select("id_a", "id_b")
+
+
+def p2_repeats(spark, sf):
+    return repeated_records(*_deliveries(spark, sf, True))
+
+
 def _items(spark, sf, with_content):
     docs = table(spark, sf, "kb_documents").select("id", "content")
     chunks = table(spark, sf, "kb_chunks").select("id", "document_id", "content")
@@ -70,6 +88,8 @@ def queries():
     return {
         "p1_found": lambda spark, sf: similar_pairs(nearest_neighbours(vectors(spark, sf))),
         "p1_neighbours": lambda spark, sf: nearest_neighbours(vectors(spark, sf)),
+        "p2_found": p2_found,
+        "p2_repeats": p2_repeats,
         "p3_found": lambda spark, sf: group_pairs(_groups(spark, sf)),
         "p3_groups": _groups,
         "p4_found": p4_found,

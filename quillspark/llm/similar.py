@@ -152,18 +152,28 @@ def candidate_pairs(features: DataFrame, key: str, fragment_rows: int = 1_500_00
     the partial counts are summed for each pair. Posting lists longer than ``hot`` are paired by a salted
     join instead, so that none is held by one task. With ``is_new``, only pairs with a new row come out.
     """
-    spark = features.sparkSession
     flag = F.lit(True) if is_new is None else is_new
     postings = features.select(F.explode("grams").alias("gram"), F.col(key).alias("doc"), flag.alias("new"))
-    total = int(features.select(F.sum(F.size("grams")).alias("s")).first()["s"] or 0)
+    sizes = features.select(F.col(key).alias("doc"), F.size("grams").alias("has"), flag.alias("whole"))
+    return pairs_of_postings(postings, sizes, fragment_rows, hot)
+
+
+def pairs_of_postings(postings: DataFrame, sizes: DataFrame, fragment_rows: int = 1_500_000, hot: int = HOT) -> DataFrame:
+    """``candidate_pairs`` of ready postings ``(gram, doc, new)`` and sizes ``(doc, has, whole)``.
+
+    ``whole`` says that all n-grams of the text are among the postings; of a text that brings only those it may
+    share, the rest counts as the frequent end of its order.
+    """
+    spark = postings.sparkSession
+    total = int(sizes.select(F.sum("has").alias("s")).first()["s"] or 0)
     cuts = partitions_for(total, fragment_rows, spark)
     common = materialize(postings.repartition(cuts, "gram").mapInArrow(_frequencies, "gram bigint, doc bigint, new boolean, df bigint"), "postings")
-    keep = F.ceil((1 - SPARE) * F.col("has")) - (F.col("has") - F.col("common"))
+    keep = F.ceil((1 - SPARE) * F.col("has")) - F.when(F.col("whole"), F.col("has") - F.col("common")).otherwise(0)
     by_doc = Window.partitionBy("doc")
     ranked = (
         common.withColumn("place", F.row_number().over(by_doc.orderBy("df", "gram")))
         .withColumn("common", F.count("*").over(by_doc))
-        .join(features.select(F.col(key).alias("doc"), F.size("grams").alias("has")), "doc")
+        .join(sizes, "doc")
         .where(F.col("place") <= keep)
     )
     counted = materialize(
