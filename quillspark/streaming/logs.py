@@ -18,7 +18,7 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def windowed_counts(events: DataFrame, window: str = "1 day", late: str = "1 day") -> DataFrame:
     """``(window_start, event_type, n)``: counts per window, closed once the watermark has passed it."""
-    counted = events.withWatermark("ts", late).groupBy(F.window("ts", window), "event_type").agg(F.count("*").alias("n"))
+    counted = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy(F.window("ts", window), "event_type").agg(F.count("*").alias("n"))
     return counted.select(F.col("window.start").alias("window_start"), "event_type", "n")
 
 
