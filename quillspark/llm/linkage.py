@@ -88,13 +88,11 @@ class History:
     mapping, of which only affected clusters change. A delivery is compared through its keys alone:
 
     - a class is a set of shingles; a record with a known set joins its class and compares nothing;
-    - a new class probes the table of n-gram keys (a nested sample of about SAMPLE keys for a long text);
+    - a new class probes the table of keys, of which every class has the same number (``similar.band_keys``);
       only keys it holds are read further, and sets are fetched for the candidates alone;
     - pages are blocked by the address without its spelling.
     """
 
-    SAMPLE = 64
-
     def __init__(self, spark: SparkSession, folder: str | None = None, threshold: float = 0.6):
         self.spark, self.threshold = spark, threshold
         self.folder = folder or f"{shared_dir(spark)}/history-{uuid.uuid4().hex[:12]}"
@@ -125,7 +123,7 @@ class History:
         batch = batch.where("id is not null")
         if "records" in self.tables:
             batch = batch.join(self._all("records").select("id"), "id", "left_anti")
-        feats = shingle_features(batch.withColumn("page", F.pandas_udf(_pages, "string", F.PandasUDFType.SCALAR)("url")), F.col("content"), ["id", "batch", "title", "page"], 3, 8, self.threshold, self.SAMPLE)
+        feats = shingle_features(batch.withColumn("page", F.pandas_udf(_pages, "string", F.PandasUDFType.SCALAR)("url")), F.col("content"), ["id", "batch", "title", "page"], 3, None, self.threshold)
         feats = materialize(feats, "batch").dropDuplicates(["id"])
         sets = ["set_a", "set_b", "n"]
         classes = feats.where("n > 0").groupBy(*sets).agg(F.min("id").alias("class"))
@@ -148,7 +146,7 @@ class History:
             postings = postings.unionByName(probed.select("gram", "doc", F.lit(False).alias("new")))
             old_sizes = self._all("classes").select(F.col("class").alias("doc"), "has").join(probed.select("doc").distinct(), "doc", "left_semi")
             sizes = sizes.unionByName(old_sizes.join(fresh.select(F.col("class").alias("doc")), "doc", "left_anti").select("doc", "has", F.lit(False).alias("whole")))
-        links = self._add("links", verified_links(pairs_of_postings(postings, sizes), self._all("classes"), "class", self.threshold))
+        links = self._add("links", verified_links(pairs_of_postings(postings, sizes, spare=0), self._all("classes"), "class", self.threshold))
         touched = records.where("class is not null").select("class").distinct()
         near = self._all("links")
         near = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"), "likeness")).unionByName(touched.select(F.col("class").alias("a"), F.col("class").alias("b"), F.lit(1.0).alias("likeness")))

@@ -12,7 +12,7 @@ _KEY = "quillspark-words"  # 16 characters, the key of the word hash
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _mix(h: np.ndarray) -> np.ndarray:
+def mix(h: np.ndarray) -> np.ndarray:
     h = h ^ (h >> np.uint64(31))
     h = h * np.uint64(0xBF58476D1CE4E5B9)
     return h ^ (h >> np.uint64(29))
@@ -38,7 +38,7 @@ def grams(hashes: np.ndarray, ends: np.ndarray, width: int) -> tuple[np.ndarray,
         return np.empty(0, "u8"), np.empty(0, "i8")
     out = np.full(n, np.uint64(width))
     for j in range(width):
-        out = _mix(out * _MUL + hashes[j : j + n])
+        out = mix(out * _MUL + hashes[j : j + n])
     doc = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
     inside = doc[:n] == doc[width - 1 :]
     return out[inside], doc[:n][inside]
@@ -57,6 +57,6 @@ def set_hash(values: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarr
     """Two independent 64-bit hashes of each text's set of values."""
     both = []
     for salt in (0x1234567, 0x7654321):
-        total = np.concatenate([[np.uint64(0)], np.cumsum(_mix(values + np.uint64(salt)), dtype="u8")])
+        total = np.concatenate([[np.uint64(0)], np.cumsum(mix(values + np.uint64(salt)), dtype="u8")])
         both.append((total[ends[1:]] - total[ends[:-1]]).astype("i8"))
     return both[0], both[1]

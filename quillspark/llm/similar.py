@@ -28,6 +28,35 @@ SPARE = 0.25
 #: 64-bit words of the bitmap that bounds the overlap of two sets.
 BITMAP = 16
 SLICE = 1000
+#: Smallest hashes that make one band key.
+ROWS = 4
+#: The chance at most that a pair right at the threshold shares no band key.
+MISS = 1e-6
+
+
+def bands_for(threshold: float) -> int:
+    """How many band keys a text needs so that a pair of likeness ``threshold`` shares none with a chance of MISS."""
+    return int(np.ceil(np.log(MISS) / np.log1p(-min(threshold, 0.999) ** ROWS)))
+
+
+def band_keys(flat: np.ndarray, ends: np.ndarray, bands: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct band keys of each set: every key hashes the smallest values of the set under ROWS random orders.
+
+    Two sets agree in a key with a chance of likeness ** ROWS, whatever their sizes and wherever their members
+    differ. An empty set has no keys.
+    """
+    count = len(ends) - 1
+    some = np.flatnonzero(np.diff(ends))
+    draw = np.random.default_rng(20240601)
+    keys = np.empty((len(some), bands), "u8")
+    for band in range(bands):
+        key = np.full(len(some), np.uint64(band))
+        for _ in range(ROWS):
+            mask, factor = (draw.integers(0, 1 << 63, dtype="u8") for _ in range(2))
+            if len(some):
+                key = sh.mix(key * np.uint64(0x9E3779B97F4A7C15) + np.minimum.reduceat((flat ^ mask) * (factor | np.uint64(1)), ends[some]))
+        keys[:, band] = key
+    return sh.distinct(keys.ravel(), np.repeat(some, bands), count)
 
 
 def _lists(flat: np.ndarray, ends: np.ndarray) -> pa.Array:
@@ -41,16 +70,16 @@ def _bitmaps(flat: np.ndarray, ends: np.ndarray) -> pa.Array:
     return _lists(np.packbits(bits, axis=1).view("u8").ravel(), np.arange(0, count * BITMAP + 1, BITMAP))
 
 
-def shingle_features(df: DataFrame, text: Column, keep: list[str], width: int = 3, long_width: int = 8, threshold: float = 0.6, sample_over: int | None = None) -> DataFrame:
+def shingle_features(df: DataFrame, text: Column, keep: list[str], width: int = 3, long_width: int | None = 8, threshold: float = 0.6) -> DataFrame:
     """Per row of ``df``: its ``keep`` columns, number and set of shingles, and its join keys.
 
     Adds ``n`` (distinct shingles), ``set_a``/``set_b`` (a 128-bit hash of the set), ``shingles`` and
     ``grams`` (the n-grams to join on). A null text, and one with fewer words than ``width``, has n = 0 and
     no keys. Texts of at most SHORT / threshold shingles get short keys, those of more than SHORT
     long ones; between the two bounds a text has both, so that any pair a size filter lets pass shares
-    a kind of key. With ``sample_over``, a text with more keys than that keeps those below a hash bound
-    halved with each doubling of its size (nested, so two texts of similar size keep the same).
+    a kind of key. With ``long_width`` None, the keys are the band keys of the shingles, of one kind for all sizes.
     """
+    bands = bands_for(threshold)
     spark = df.sparkSession
     source = df.select(*keep, text.alias("_text"))
     fields = {f.name: f for f in source.schema.fields}
@@ -65,17 +94,15 @@ def shingle_features(df: DataFrame, text: Column, keep: list[str], width: int =
                 flat, offs = sh.distinct(*sh.grams(hashes, ends, width), count)
                 size = np.diff(offs)
                 a, b = sh.set_hash(flat, offs)
-                lv, ld = sh.grams(hashes, ends, long_width)
-                use = size[ld] > SHORT
-                lv, ld = lv[use], ld[use]
-                if sample_over:
-                    level = np.maximum(0, np.floor(np.log2(np.maximum(size, 1) / sample_over))).astype("u8")
-                    low = (lv >> np.uint64(40)) & np.uint64(0xFFFFFF)
-                    use = low < (np.uint64(1 << 24) >> level[ld])
+                if long_width is None:
+                    keys, kends = band_keys(flat, offs, bands)
+                else:
+                    lv, ld = sh.grams(hashes, ends, long_width)
+                    use = size[ld] > SHORT
                     lv, ld = lv[use], ld[use]
-                sd = np.repeat(np.arange(count), size)
-                use = size[sd] <= int(SHORT / threshold)
-                keys, kends = sh.distinct(np.concatenate([lv, flat[use]]), np.concatenate([ld, sd[use]]), count)
+                    sd = np.repeat(np.arange(count), size)
+                    use = size[sd] <= int(SHORT / threshold)
+                    keys, kends = sh.distinct(np.concatenate([lv, flat[use]]), np.concatenate([ld, sd[use]]), count)
                 cols = [batch.column(i) for i in range(batch.num_columns - 1)]
                 cols += [pa.array(size, pa.int32()), pa.array(a), pa.array(b), _bitmaps(flat, offs), _lists(flat, offs), _lists(keys, kends)]
                 yield pa.RecordBatch.from_arrays(cols, names=[*keep, "n", "set_a", "set_b", "bitmap", "shingles", "grams"])
@@ -158,17 +185,17 @@ def candidate_pairs(features: DataFrame, key: str, fragment_rows: int = 1_500_00
     return pairs_of_postings(postings, sizes, fragment_rows, hot)
 
 
-def pairs_of_postings(postings: DataFrame, sizes: DataFrame, fragment_rows: int = 1_500_000, hot: int = HOT) -> DataFrame:
+def pairs_of_postings(postings: DataFrame, sizes: DataFrame, fragment_rows: int = 1_500_000, hot: int = HOT, spare: float = SPARE) -> DataFrame:
     """``candidate_pairs`` of ready postings ``(gram, doc, new)`` and sizes ``(doc, has, whole)``.
 
     ``whole`` says that all n-grams of the text are among the postings; of a text that brings only those it may
-    share, the rest counts as the frequent end of its order.
+    share, the rest counts as the frequent end of its order. With ``spare`` 0 every shared key counts.
     """
     spark = postings.sparkSession
     total = int(sizes.select(F.sum("has").alias("s")).first()["s"] or 0)
     cuts = partitions_for(total, fragment_rows, spark)
     common = materialize(postings.repartition(cuts, "gram").mapInArrow(_frequencies, "gram bigint, doc bigint, new boolean, df bigint"), "postings")
-    keep = F.ceil((1 - SPARE) * F.col("has")) - F.when(F.col("whole"), F.col("has") - F.col("common")).otherwise(0)
+    keep = F.ceil((1 - spare) * F.col("has")) - F.when(F.col("whole"), F.col("has") - F.col("common")).otherwise(0)
     by_doc = Window.partitionBy("doc")
     ranked = (
         common.withColumn("place", F.row_number().over(by_doc.orderBy("df", "gram")))
