@@ -123,7 +123,7 @@ class History:
         batch = batch.where("id is not null")
         if "records" in self.tables:
             batch = batch.join(self._all("records").select("id"), "id", "left_anti")
-        feats = shingle_features(batch.withColumn("page", F.pandas_udf(_pages, "string", F.PandasUDFType.SCALAR)("url")), F.col("content"), ["id", "batch", "title", "page"], 3, None, self.threshold)
+        feats = shingle_features(batch.withColumn("page", F.pandas_udf(_pages, "string", F.PandasUDFType.SCALAR)("url")), F.col("content"), ["id", "batch", "title", "page"], 3, self.threshold)
         feats = materialize(feats, "batch").dropDuplicates(["id"])
         sets = ["set_a", "set_b", "n"]
         classes = feats.where("n > 0").groupBy(*sets).agg(F.min("id").alias("class"))
@@ -135,18 +135,17 @@ class History:
         classes = materialize(classes, "batch-classes")
         records = self._add("records", feats.join(classes.select(*sets, "class"), sets, "left").select("id", "batch", "title", "page", "class"))
         fresh = feats.join(classes.where("new").select(F.col("class").alias("id")), "id", "left_semi")
-        fresh = self._add("classes", fresh.select(F.col("id").alias("class"), *sets, "bitmap", "shingles", F.size("grams").alias("has"), "grams"))
+        fresh = self._add("classes", fresh.select(F.col("id").alias("class"), *sets, "bitmap", "shingles", "grams"))
         keys = self._add("keys", fresh.select(F.explode("grams").alias("gram"), F.col("class").alias("doc")))
-        postings, sizes = keys.withColumn("new", F.lit(True)), fresh.select(F.col("class").alias("doc"), "has", F.lit(True).alias("whole"))
+        postings, total = keys.withColumn("new", F.lit(True)), keys.count()
         if len(self.tables["keys"]) > 1:
             old_keys = self.tables["keys"][0]
             for part in self.tables["keys"][1:-1]:
                 old_keys = old_keys.unionByName(part)
             probed = materialize(old_keys.join(keys.select("gram").distinct(), "gram", "left_semi"), "probed")
             postings = postings.unionByName(probed.select("gram", "doc", F.lit(False).alias("new")))
-            old_sizes = self._all("classes").select(F.col("class").alias("doc"), "has").join(probed.select("doc").distinct(), "doc", "left_semi")
-            sizes = sizes.unionByName(old_sizes.join(fresh.select(F.col("class").alias("doc")), "doc", "left_anti").select("doc", "has", F.lit(False).alias("whole")))
-        links = self._add("links", verified_links(pairs_of_postings(postings, sizes, spare=0), self._all("classes"), "class", self.threshold))
+            total += probed.count()
+        links = self._add("links", verified_links(pairs_of_postings(postings, total), self._all("classes"), "class", self.threshold))
         touched = records.where("class is not null").select("class").distinct()
         near = self._all("links")
         near = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"), "likeness")).unionByName(touched.select(F.col("class").alias("a"), F.col("class").alias("b"), F.lit(1.0).alias("likeness")))

@@ -18,9 +18,10 @@ def near_duplicate_groups(df: DataFrame, id_col: str, text: Column, threshold: f
     its class is linked to, counting its own copies as one. Copies (texts with the same set of shingles)
     form a class that is joined through its smallest id. Rows with a null id, a null text or one of fewer
     words than ``width`` are left out; repeated rows of an id count once (of differing rows, the one with the
-    smallest set hash). An empty table gives an empty result; other columns are ignored.
+    smallest set hash). An empty table gives an empty result; other columns are ignored. ``long_width`` has no
+    effect any more: all texts are joined on band keys.
     """
-    feats = shingle_features(df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), text.alias("_t")), F.col("_t"), ["id"], width, long_width or width + 5, threshold)
+    feats = shingle_features(df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), text.alias("_t")), F.col("_t"), ["id"], width, threshold)
     feats = materialize(feats.where("n > 0"), "features")
     one = feats.groupBy("id").agg(F.min(F.struct("set_a", "set_b", "n")).alias("s"))
     classes = one.groupBy("s").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))

@@ -1,10 +1,9 @@
 """Exact similarity joins on word shingles by vertical partitioning.
 
-Two texts with a likeness (Jaccard of distinct ``width``-word runs) of at least t share long runs of words
-too. With t = 0.6, at most 0.105 n edits of single words fit between two texts of n shingles (an insertion
-takes ``width`` - 1 shingles from one side and gives ``width`` to the other), and each edit breaks at most
-``long_width`` of the longer n-grams, so more than a quarter of them stay shared. The join therefore counts
-shared *long* n-grams, which are rare even in formulaic text, and verifies survivors on the shingle sets.
+Two texts of a likeness (Jaccard of distinct ``width``-word runs) of at least t agree in one of their band keys, hashes
+of the smallest shingles under random orders, but for a chance of MISS; so it is for every size and every kind of
+edit. The order of keys is cut into fragments, each fragment counts what the pairs of texts share in it, the counts
+are summed for each pair, and the pairs are verified on the shingle sets.
 """
 
 from __future__ import annotations
@@ -13,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm import shingles as sh
@@ -21,10 +20,6 @@ from quillspark.session import materialize, partitions_for
 
 #: Postings longer than this are not paired within one task but by a salted join.
 HOT = 256
-#: Texts of up to this many shingles are joined on the shingles themselves.
-SHORT = 24
-#: The share of its n-grams, the most frequent ones, that a text can do without (see above).
-SPARE = 0.25
 #: 64-bit words of the bitmap that bounds the overlap of two sets.
 BITMAP = 16
 SLICE = 1000
@@ -70,14 +65,11 @@ def _bitmaps(flat: np.ndarray, ends: np.ndarray) -> pa.Array:
     return _lists(np.packbits(bits, axis=1).view("u8").ravel(), np.arange(0, count * BITMAP + 1, BITMAP))
 
 
-def shingle_features(df: DataFrame, text: Column, keep: list[str], width: int = 3, long_width: int | None = 8, threshold: float = 0.6) -> DataFrame:
+def shingle_features(df: DataFrame, text: Column, keep: list[str], width: int = 3, threshold: float = 0.6) -> DataFrame:
     """Per row of ``df``: its ``keep`` columns, number and set of shingles, and its join keys.
 
     Adds ``n`` (distinct shingles), ``set_a``/``set_b`` (a 128-bit hash of the set), ``shingles`` and
-    ``grams`` (the n-grams to join on). A null text, and one with fewer words than ``width``, has n = 0 and
-    no keys. Texts of at most SHORT / threshold shingles get short keys, those of more than SHORT
-    long ones; between the two bounds a text has both, so that any pair a size filter lets pass shares
-    a kind of key. With ``long_width`` None, the keys are the band keys of the shingles, of one kind for all sizes.
+    ``grams`` (the band keys to join on). A null text, and one with fewer words than ``width``, has n = 0 and no keys.
     """
     bands = bands_for(threshold)
     spark = df.sparkSession
@@ -94,15 +86,7 @@ def shingle_features(df: DataFrame, text: Column, keep: list[str], width: int =
                 flat, offs = sh.distinct(*sh.grams(hashes, ends, width), count)
                 size = np.diff(offs)
                 a, b = sh.set_hash(flat, offs)
-                if long_width is None:
-                    keys, kends = band_keys(flat, offs, bands)
-                else:
-                    lv, ld = sh.grams(hashes, ends, long_width)
-                    use = size[ld] > SHORT
-                    lv, ld = lv[use], ld[use]
-                    sd = np.repeat(np.arange(count), size)
-                    use = size[sd] <= int(SHORT / threshold)
-                    keys, kends = sh.distinct(np.concatenate([lv, flat[use]]), np.concatenate([ld, sd[use]]), count)
+                keys, kends = band_keys(flat, offs, bands)
                 cols = [batch.column(i) for i in range(batch.num_columns - 1)]
                 cols += [pa.array(size, pa.int32()), pa.array(a), pa.array(b), _bitmaps(flat, offs), _lists(flat, offs), _lists(keys, kends)]
                 yield pa.RecordBatch.from_arrays(cols, names=[*keep, "n", "set_a", "set_b", "bitmap", "shingles", "grams"])
@@ -124,18 +108,6 @@ def _sorted(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray,
     return gram, doc, new, np.repeat(size, size)
 
 
-def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The postings of n-grams found in two texts or more, with the number of texts."""
-    if (found := _sorted(batches)) is None:
-        return
-    gram, doc, new, length = found
-    use = length > 1
-    gram, doc, new, length = gram[use], doc[use], new[use], length[use]
-    for at in range(0, len(gram), 100_000):
-        x = slice(at, at + 100_000)
-        yield pa.RecordBatch.from_arrays([pa.array(gram[x]), pa.array(doc[x]), pa.array(new[x]), pa.array(length[x].astype("i8"))], names=["gram", "doc", "new", "df"])
-
-
 def _partial_overlaps(batches: Iterator[pa.RecordBatch], hot: int) -> Iterator[pa.RecordBatch]:
     """One fragment of the n-gram order: count the partial overlap of each pair of texts in it."""
     if (found := _sorted(batches)) is None:
@@ -171,40 +143,22 @@ def _rows(a: np.ndarray, b: np.ndarray, c: np.ndarray, kind: int) -> Iterator[pa
 
 
 def candidate_pairs(features: DataFrame, key: str, fragment_rows: int = 1_500_000, hot: int = HOT, is_new: Column | None = None) -> DataFrame:
-    """Pairs ``(a, b, shared)``, a < b, of rows that share rare n-grams, with the number shared.
+    """Pairs ``(a, b, shared)``, a < b, of rows that share keys, with the number shared.
 
-    The global order of n-grams runs from rare to frequent; each text keeps all but the last SPARE of its
-    n-grams in that order (what is like it must share one of those). The kept order is cut into
-    fragments of about ``fragment_rows`` postings; every fragment counts its partial overlaps on its own, and
-    the partial counts are summed for each pair. Posting lists longer than ``hot`` are paired by a salted
-    join instead, so that none is held by one task. With ``is_new``, only pairs with a new row come out.
+    The order of keys is cut into fragments of about ``fragment_rows`` postings; every fragment counts its partial
+    overlaps on its own, and the partial counts are summed for each pair. Posting lists longer than ``hot`` are paired
+    by a salted join instead, so that none is held by one task. With ``is_new``, only pairs with a new row come out.
     """
     flag = F.lit(True) if is_new is None else is_new
-    postings = features.select(F.explode("grams").alias("gram"), F.col(key).alias("doc"), flag.alias("new"))
-    sizes = features.select(F.col(key).alias("doc"), F.size("grams").alias("has"), flag.alias("whole"))
-    return pairs_of_postings(postings, sizes, fragment_rows, hot)
-
+    total = int(features.select(F.sum(F.size("grams")).alias("s")).first()["s"] or 0)
+    return pairs_of_postings(features.select(F.explode("grams").alias("gram"), F.col(key).alias("doc"), flag.alias("new")), total, fragment_rows, hot)
 
-def pairs_of_postings(postings: DataFrame, sizes: DataFrame, fragment_rows: int = 1_500_000, hot: int = HOT, spare: float = SPARE) -> DataFrame:
-    """``candidate_pairs`` of ready postings ``(gram, doc, new)`` and sizes ``(doc, has, whole)``.
 
-    ``whole`` says that all n-grams of the text are among the postings; of a text that brings only those it may
-    share, the rest counts as the frequent end of its order. With ``spare`` 0 every shared key counts.
-    """
-    spark = postings.sparkSession
-    total = int(sizes.select(F.sum("has").alias("s")).first()["s"] or 0)
-    cuts = partitions_for(total, fragment_rows, spark)
-    common = materialize(postings.repartition(cuts, "gram").mapInArrow(_frequencies, "gram bigint, doc bigint, new boolean, df bigint"), "postings")
-    keep = F.ceil((1 - spare) * F.col("has")) - F.when(F.col("whole"), F.col("has") - F.col("common")).otherwise(0)
-    by_doc = Window.partitionBy("doc")
-    ranked = (
-        common.withColumn("place", F.row_number().over(by_doc.orderBy("df", "gram")))
-        .withColumn("common", F.count("*").over(by_doc))
-        .join(sizes, "doc")
-        .where(F.col("place") <= keep)
-    )
+def pairs_of_postings(postings: DataFrame, total: int, fragment_rows: int = 1_500_000, hot: int = HOT) -> DataFrame:
+    """``candidate_pairs`` of ``total`` ready postings ``(gram, doc, new)``."""
+    cuts = partitions_for(total, fragment_rows, postings.sparkSession)
     counted = materialize(
-        ranked.select("gram", "doc", "new").repartition(cuts, "gram").mapInArrow(lambda batches: _partial_overlaps(batches, hot), "kind int, a bigint, b bigint, c bigint"), "overlaps"
+        postings.select("gram", "doc", "new").repartition(cuts, "gram").mapInArrow(lambda batches: _partial_overlaps(batches, hot), "kind int, a bigint, b bigint, c bigint"), "overlaps"
     )
     parts = counted.where("kind = 0").select("a", "b", "c")
     rest = counted.where("kind = 1").select(F.col("a").alias("gram"), F.col("b").alias("doc"), F.col("c").alias("new"))
