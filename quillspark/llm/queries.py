@@ -86,7 +86,7 @@ def _segments(spark, sf):
 def queries():
     vectors = lambda spark, sf: table(spark, sf, "kb_embeddings").select("chunk_id", "embedding")
     return {
-        "p1_found": lambda spark, sf: similar_pairs(nearest_neighbours(vectors(spark, sf))),
+        "p1_found": lambda spark, sf: similar_pairs(nearest_neighbours(vectors(spark, sf), least=0.85)),
         "p1_neighbours": lambda spark, sf: nearest_neighbours(vectors(spark, sf)),
         "p2_found": p2_found,
         "p2_repeats": p2_repeats,

@@ -97,7 +97,7 @@ def test_neighbours_against_brute_force(spark, block):
     rows = [(f"c{i:03d}", [float(f) for f in v]) for i, v in enumerate(x.astype("f4"))]
     dirt = [("n", None), ("z", [0.0] * 16), ("short", [1.0]), ("inf", [float("inf")] * 16), ("nan", [float("nan")] * 16), rows[0], (None, rows[0][1])]
     df = spark.createDataFrame(rows + dirt, "chunk_id string, embedding array<float>")
-    found = {(r.id, r.neighbour) for r in nearest_neighbours(df, k=5, dim=16, least=0.85, block=block, cell_rows=40).collect()}
+    found = {(r.id, r.neighbour) for r in nearest_neighbours(df, k=5, dim=16, least=0.85, block=block).collect()}
     y = x.astype("f4").astype("f8")
     y /= np.linalg.norm(y, axis=1)[:, None]
     s = np.round(y @ y.T, 9)
