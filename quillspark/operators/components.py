@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.session import materialize
 
 
-def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60, cut: Callable = materialize) -> DataFrame:
     """Label every node of an undirected edge table with the smallest node of its component.
 
     Returns ``(node, component)``, one row for each node that has an edge; edges with a null end are
@@ -17,13 +19,13 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     grow with the logarithm of the longest path. Nothing is sent to the driver but one count a round.
     """
     links = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u is not null and v is not null")
-    both = materialize(links.union(links.select("v", "u")).distinct(), "cc-edges")
-    labels = materialize(both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.col("u")).alias("component")), "cc-labels")
+    both = cut(links.union(links.select("v", "u")).distinct(), "cc-edges")
+    labels = cut(both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.col("u")).alias("component")), "cc-labels")
     for _ in range(max_rounds):
         near = both.join(labels.withColumnRenamed("node", "v"), "v").groupBy(F.col("u").alias("node")).agg(F.min("component").alias("near"))
         low = labels.join(near, "node", "left").select("node", F.least("component", F.coalesce("near", "component")).alias("component"), F.col("component").alias("was"))
         up = low.select(F.col("node").alias("component"), F.col("component").alias("above"))
-        jumped = materialize(low.join(up, "component", "left").select("node", F.least("component", F.coalesce("above", "component")).alias("component"), "was"), "cc-labels")
+        jumped = cut(low.join(up, "component", "left").select("node", F.least("component", F.coalesce("above", "component")).alias("component"), "was"), "cc-labels")
         changed = jumped.where("component <> was").limit(1).count()
         labels = jumped.select("node", "component")
         if not changed:

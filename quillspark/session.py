@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import shutil
 import tempfile
 import uuid
 import zipfile
 from pathlib import Path
 
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -63,33 +65,60 @@ def shared_dir(spark: SparkSession) -> str:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='quillspark-')}"
+        atexit.register(drop_path, spark, found)
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
-def _drop(spark: SparkSession, path: str) -> None:
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder, also after its session has stopped."""
+    if path.startswith("file:"):
+        shutil.rmtree(re.sub("^file:/*", "/", path), ignore_errors=True)
+        return
     try:
-        jvm = spark.sparkContext._jvm
+        jvm = SparkContext._jvm
         target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-    except Exception:  # the session may be gone already
+        target.getFileSystem(jvm.org.apache.hadoop.conf.Configuration()).delete(target, True)
+    except Exception:  # the JVM may be gone already
         pass
 
 
-def materialize(df: DataFrame, name: str = "cut", keep: bool = False) -> DataFrame:
+def _new_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def materialize(df: DataFrame, name: str = "cut") -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
-    Cuts the lineage: what follows reads files that outlive any executor. The files go when the
-    process ends, unless ``keep``.
+    Cuts the lineage: what follows reads files that outlive any executor. The files go when the process ends.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    path = _new_path(spark, name)
     df.write.mode("overwrite").parquet(path)
-    if not keep:
-        atexit.register(_drop, spark, path)
+    atexit.register(drop_path, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Materializes tables that one step needs; all of them go when the block ends."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def __enter__(self) -> "Scratch":
+        return self
+
+    def __exit__(self, *_) -> None:
+        for path in self.paths:
+            drop_path(self.spark, path)
+
+    def __call__(self, df: DataFrame, name: str = "cut") -> DataFrame:
+        path = _new_path(self.spark, name)
+        self.paths.append(path)
+        df.write.mode("overwrite").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+
 def partitions_for(rows: int, rows_each: int, spark: SparkSession) -> int:
     """Partitions so that each holds about ``rows_each`` rows, and the cores have work."""
     return max(spark.sparkContext.defaultParallelism, -(-rows // max(1, rows_each)))
