@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.similar import candidate_pairs, shingle_features, verified_links
+from quillspark.llm.similar import candidate_pairs, pair_up, shingle_features, verified_links
 from quillspark.operators.components import connected_components
-from quillspark.session import materialize
+from quillspark.session import Scratch, materialize
 
 
-def near_duplicate_groups(df: DataFrame, id_col: str, text: Column, threshold: float = 0.8, width: int = 5, long_width: int | None = None) -> DataFrame:
+def near_duplicate_groups(df: DataFrame, id_col: str, text: Column, threshold: float = 0.8, width: int = 5) -> DataFrame:
     """Group records whose texts have a likeness of at least ``threshold``, directly or through others.
 
     Returns ``(id, group_id, links)``, one row per id with a usable text: ``group_id`` is the smallest id
@@ -18,17 +18,17 @@ def near_duplicate_groups(df: DataFrame, id_col: str, text: Column, threshold: f
     its class is linked to, counting its own copies as one. Copies (texts with the same set of shingles)
     form a class that is joined through its smallest id. Rows with a null id, a null text or one of fewer
     words than ``width`` are left out; repeated rows of an id count once (of differing rows, the one with the
-    smallest set hash). An empty table gives an empty result; other columns are ignored. ``long_width`` has no
-    effect any more: all texts are joined on band keys.
+    smallest set hash). An empty table gives an empty result; other columns are ignored.
     """
     feats = shingle_features(df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), text.alias("_t")), F.col("_t"), ["id"], width, threshold)
-    feats = materialize(feats.where("n > 0"), "features")
-    one = feats.groupBy("id").agg(F.min(F.struct("set_a", "set_b", "n")).alias("s"))
-    classes = one.groupBy("s").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
-    members = materialize(one.join(classes, "s").select("id", "rep", "copies", F.col("s.set_a").alias("set_a"), F.col("s.set_b").alias("set_b")), "members")
-    reps = members.where("id = rep").select("id", "set_a", "set_b")
-    rep_feats = materialize(feats.join(reps, ["id", "set_a", "set_b"], "left_semi").dropDuplicates(["id"]), "rep-features")
-    links = materialize(verified_links(candidate_pairs(rep_feats, "id"), rep_feats, "id", threshold), "links")
+    with Scratch(df.sparkSession) as cut:
+        feats = cut(feats.where("n > 0"), "features")
+        one = feats.groupBy("id").agg(F.min(F.struct("set_a", "set_b", "n")).alias("s"))
+        classes = one.groupBy("s").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
+        members = materialize(one.join(classes, "s").select("id", "rep", "copies", F.col("s.set_a").alias("set_a"), F.col("s.set_b").alias("set_b")), "members")
+        reps = members.where("id = rep").select("id", "set_a", "set_b")
+        rep_feats = cut(feats.join(reps, ["id", "set_a", "set_b"], "left_semi").dropDuplicates(["id"]), "rep-features")
+        links = materialize(verified_links(candidate_pairs(rep_feats, "id", cut=cut), rep_feats, "id", threshold, cut), "links")
     label = connected_components(links, "a", "b")
     degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("others"))
     return (
@@ -39,7 +39,7 @@ def near_duplicate_groups(df: DataFrame, id_col: str, text: Column, threshold: f
 
 
 def group_pairs(groups: DataFrame) -> DataFrame:
-    """All pairs ``(id_a, id_b)``, id_a < id_b, within the groups (asked for where groups are small)."""
-    some = groups.join(groups.groupBy("group_id").count().where("count > 1"), "group_id", "left_semi")
+    """All pairs ``(id_a, id_b)``, id_a < id_b, within the groups (asked for where groups are small); large groups are salted."""
+    some = groups.join(groups.groupBy("group_id").count().where("count > 1").select("group_id"), "group_id", "left_semi")
     a, b = some.select("group_id", F.col("id").alias("id_a")), some.select("group_id", F.col("id").alias("id_b"))
-    return a.join(b, "group_id").where("id_a < id_b").select("id_a", "id_b")
+    return pair_up(a, b, "group_id", "id_b").where("id_a < id_b").select("id_a", "id_b")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+
 from pyspark.sql import functions as F
 
 from quillspark.llm import langid, personal
@@ -11,29 +13,31 @@ from quillspark.llm.neardup import group_pairs, near_duplicate_groups
 from quillspark.llm.neighbours import nearest_neighbours, similar_pairs
 from quillspark.llm.split import split_items
 from quillspark.llm.tokenize import encode_corpus
-from quillspark.session import materialize, table, tokenizer_dir
+from quillspark.session import drop_path, materialize, table, tokenizer_dir
 
 
 def _groups(spark, sf):
     docs = table(spark, sf, "kb_documents").where(F.length(F.regexp_replace("content", r"(?U)\s+", "")) > 0)
-    return near_duplicate_groups(docs, "id", F.concat_ws(" ", F.coalesce("title", F.lit("")), "content"), threshold=0.6, width=3, long_width=8)
+    return near_duplicate_groups(docs, "id", F.concat_ws(" ", F.coalesce("title", F.lit("")), "content"), threshold=0.6, width=3)
 
 
-def _deliveries(spark, sf, with_clusters):
-    """The history built from the earlier half of the batches, then the later half delivered to it."""
+def _deliveries(spark, sf):
+    """The history built from the earlier half of the batches, then the later half delivered to it; the folder goes at the end."""
     docs = table(spark, sf, "kb_documents").select("id", F.col("sync_id").alias("batch"), "title", "content", "url")
     middle = docs.agg(F.percentile_approx("batch", 0.5).alias("m")).first()["m"]
     history = History(spark)
-    first = history.accept(docs.where(F.col("batch") <= F.lit(middle)), with_clusters)
-    return history, first.unionByName(history.accept(docs.where((F.col("batch") > F.lit(middle)) | F.col("batch").isNull()), with_clusters))
+    atexit.register(drop_path, spark, history.folder)
+    first = history.accept(docs.where(F.col("batch") <= F.lit(middle)))
+    history = History(spark, history.folder)  # as a later run would open it
+    return history, first.unionByName(history.accept(docs.where((F.col("batch") > F.lit(middle)) | F.col("batch").isNull())))
 
 
 def p2_found(spark, sf):
-    return _deliveries(spark, sf, False)[1].where("batch_a <> batch_b").select("id_a", "id_b")
+    return _deliveries(spark, sf)[1].where("batch_a <> batch_b").select("id_a", "id_b")
 
 
 def p2_repeats(spark, sf):
-    return repeated_records(*_deliveries(spark, sf, True))
+    return repeated_records(*_deliveries(spark, sf))
 
 
 def _items(spark, sf, with_content):

@@ -8,7 +8,7 @@ are summed for each pair, and the pairs are verified on the shingle sets.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -108,14 +108,12 @@ def _sorted(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray,
     return gram, doc, new, np.repeat(size, size)
 
 
-def _partial_overlaps(batches: Iterator[pa.RecordBatch], hot: int) -> Iterator[pa.RecordBatch]:
+def _partial_overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One fragment of the n-gram order: count the partial overlap of each pair of texts in it."""
     if (found := _sorted(batches)) is None:
         return
     gram, doc, new, length = found
-    frequent = length > hot
-    yield from _rows(gram[frequent], doc[frequent], new[frequent].astype("i8"), 1)
-    use = (length > 1) & ~frequent
+    use = length > 1
     gram, doc, new = gram[use], doc[use], new[use]
     left, right = [np.empty(0, "i8")], [np.empty(0, "i8")]
     step = 1
@@ -133,64 +131,70 @@ def _partial_overlaps(batches: Iterator[pa.RecordBatch], hot: int) -> Iterator[p
     order = np.lexsort((b, a))
     a, b = a[order], b[order]
     start = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
-    yield from _rows(a[start], b[start], np.diff(np.concatenate([start, [len(a)]])), 0)
-
-
-def _rows(a: np.ndarray, b: np.ndarray, c: np.ndarray, kind: int) -> Iterator[pa.RecordBatch]:
-    for at in range(0, len(a), 100_000):
+    count = np.diff(np.concatenate([start, [len(a)]]))
+    for at in range(0, len(start), 100_000):
         x = slice(at, at + 100_000)
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a[x]), kind, "i4")), pa.array(a[x]), pa.array(b[x]), pa.array(c[x].astype("i8"))], names=["kind", "a", "b", "c"])
+        yield pa.RecordBatch.from_arrays([pa.array(a[start[x]]), pa.array(b[start[x]]), pa.array(count[x])], names=["a", "b", "c"])
 
 
-def candidate_pairs(features: DataFrame, key: str, fragment_rows: int = 1_500_000, hot: int = HOT, is_new: Column | None = None) -> DataFrame:
-    """Pairs ``(a, b, shared)``, a < b, of rows that share keys, with the number shared.
+def pair_up(left: DataFrame, right: DataFrame, key: str, of: str, most: int = 2000) -> DataFrame:
+    """``left`` joined with ``right`` on ``key``; a key with more than ``most`` rows on the right is spread over tasks.
 
-    The order of keys is cut into fragments of about ``fragment_rows`` postings; every fragment counts its partial
-    overlaps on its own, and the partial counts are summed for each pair. Posting lists longer than ``hot`` are paired
-    by a salted join instead, so that none is held by one task. With ``is_new``, only pairs with a new row come out.
+    Its right rows are dealt to as many salts by ``of``, a column of theirs, and its left rows go to each of the salts.
     """
-    flag = F.lit(True) if is_new is None else is_new
+    large = right.groupBy(key).count().where(F.col("count") > most).select(key, F.ceil(F.col("count") / most).cast("int").alias("_cuts"))
+    cut_left, cut_right = (x.join(large, key, "left").na.fill(1, ["_cuts"]) for x in (left, right))
+    a = cut_left.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_cuts") - 1))).drop("_cuts")
+    b = cut_right.withColumn("_salt", F.pmod(F.xxhash64(of), F.col("_cuts").cast("bigint")).cast("int")).drop("_cuts")
+    return a.join(b, [key, "_salt"]).drop("_salt")
+
+
+def candidate_pairs(features: DataFrame, key: str, fragment_rows: int = 1_500_000, hot: int = HOT, cut: Callable = materialize) -> DataFrame:
+    """Pairs ``(a, b, shared)``, a < b, of rows that share keys, with the number shared; see ``pairs_of_postings``."""
     total = int(features.select(F.sum(F.size("grams")).alias("s")).first()["s"] or 0)
-    return pairs_of_postings(features.select(F.explode("grams").alias("gram"), F.col(key).alias("doc"), flag.alias("new")), total, fragment_rows, hot)
+    return pairs_of_postings(features.select(F.explode("grams").alias("gram"), F.col(key).alias("doc"), F.lit(True).alias("new")), total, fragment_rows, hot, cut)
+
 
+def pairs_of_postings(postings: DataFrame, total: int, fragment_rows: int = 1_500_000, hot: int = HOT, cut: Callable = materialize) -> DataFrame:
+    """Pairs ``(a, b, shared)``, a < b and one of them new, of the ``total`` postings ``(gram, doc, new)``.
 
-def pairs_of_postings(postings: DataFrame, total: int, fragment_rows: int = 1_500_000, hot: int = HOT) -> DataFrame:
-    """``candidate_pairs`` of ``total`` ready postings ``(gram, doc, new)``."""
+    The order of keys is cut into fragments of about ``fragment_rows`` postings; every fragment counts its partial
+    overlaps on its own, and the partial counts are summed for each pair. Keys with more than ``hot`` postings
+    never enter a fragment: their postings are counted first and paired by a join salted by their number.
+    """
     cuts = partitions_for(total, fragment_rows, postings.sparkSession)
-    counted = materialize(
-        postings.select("gram", "doc", "new").repartition(cuts, "gram").mapInArrow(lambda batches: _partial_overlaps(batches, hot), "kind int, a bigint, b bigint, c bigint"), "overlaps"
-    )
-    parts = counted.where("kind = 0").select("a", "b", "c")
-    rest = counted.where("kind = 1").select(F.col("a").alias("gram"), F.col("b").alias("doc"), F.col("c").alias("new"))
-    if rest.limit(1).count():
-        salts = 16
-        left = rest.withColumn("salt", F.pmod(F.xxhash64("doc"), F.lit(salts).cast("bigint")))
-        right = rest.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))))
+    postings = postings.select("gram", "doc", "new")
+    large = cut(postings.groupBy("gram").count().where(F.col("count") > hot), "hot-keys")
+    is_hot = large.limit(1).count() > 0
+    usual = postings.join(large.select("gram"), "gram", "left_anti") if is_hot else postings
+    counted = cut(usual.repartition(cuts, "gram").mapInArrow(_partial_overlaps, "a bigint, b bigint, c bigint"), "overlaps")
+    parts = counted
+    if is_hot:
+        rest = postings.join(large.select("gram"), "gram", "left_semi")
         more = (
-            left.alias("x")
-            .join(right.alias("y"), (F.col("x.gram") == F.col("y.gram")) & (F.col("x.salt") == F.col("y.salt")) & (F.col("x.doc") < F.col("y.doc")))
-            .where("x.new + y.new > 0")
-            .groupBy(F.col("x.doc").alias("a"), F.col("y.doc").alias("b"))
+            pair_up(rest.toDF("gram", "x", "new_x"), rest.toDF("gram", "y", "new_y"), "gram", "y", hot)
+            .where("x < y and (new_x or new_y)")
+            .groupBy(F.col("x").alias("a"), F.col("y").alias("b"))
             .agg(F.count("*").alias("c"))
         )
         parts = parts.unionByName(more)
     return parts.groupBy("a", "b").agg(F.sum("c").alias("shared"))
 
 
-def verified_links(pairs: DataFrame, features: DataFrame, key: str, threshold: float) -> DataFrame:
+def verified_links(pairs: DataFrame, features: DataFrame, key: str, threshold: float, cut: Callable = materialize) -> DataFrame:
     """The pairs whose likeness reaches ``threshold``, as ``(a, b, likeness)``: exact, on the shingle sets.
 
     Bitmaps of the sets bound the overlap from above (sets whose bitmaps differ in d bits have at most half of
     their sizes' sum less d in common), so only pairs that may reach the threshold bring their sets along.
     """
     spark = pairs.sparkSession
-    ids = materialize(pairs.select("a", "b"), "pairs")
+    ids = cut(pairs.select("a", "b"), "pairs")
     bits = features.select(F.col(key).alias("k"), "n", *[F.col("bitmap")[i].alias(f"m{i}") for i in range(BITMAP)])
     joined = ids.join(bits.toDF("a", "na", *[f"x{i}" for i in range(BITMAP)]), "a").join(bits.toDF("b", "nb", *[f"y{i}" for i in range(BITMAP)]), "b")
     apart = sum((F.bit_count(F.col(f"x{i}").bitwiseXOR(F.col(f"y{i}"))) for i in range(BITMAP)), F.lit(0))
     most = (F.col("na") + F.col("nb") - apart) / 2
     fits = (F.least("na", "nb") >= F.lit(threshold) * F.greatest("na", "nb")) & (most >= F.lit(threshold / (1 + threshold)) * (F.col("na") + F.col("nb")))
-    ids = materialize(joined.where(fits).select("a", "b"), "bounded")
+    ids = cut(joined.where(fits).select("a", "b"), "bounded")
     tasks = partitions_for(ids.count(), 50_000, spark)
     side = features.select(F.col(key).alias("k"), "n", "shingles")
     wide = ids.join(side.toDF("a", "na", "sa"), "a").join(side.toDF("b", "nb", "sb"), "b")

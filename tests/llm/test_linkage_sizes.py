@@ -32,5 +32,5 @@ def test_pairs_on_both_sides_of_128_and_256_shingles(spark):
     pairs = edited_pairs([128, 256], 0.6, 0.75, 7)
     rows = [(2 * i + side, side + 1, "t", text, None) for i, pair in enumerate(pairs) for side, text in enumerate(pair)]
     df = spark.createDataFrame(rows, "id long, batch long, title string, content string, url string")
-    found = {(r.id_a, r.id_b) for r in History(spark).accept(df, False).collect()}
+    found = {(r.id_a, r.id_b) for r in History(spark).accept(df).collect()}
     assert found == {(2 * i, 2 * i + 1) for i in range(len(pairs))}

@@ -44,7 +44,7 @@ def _links(rows, least, width=3):
 def test_near_duplicates_against_all_pairs(spark):
     rows = _texts() + [(900, "n", None), (901, "e", ""), (902, "s", "two words"), (1, "T0", _texts()[0][2])]
     df = spark.createDataFrame(rows, "id long, title string, content string").withColumn("n", F.lit("clash"))
-    groups = near_duplicate_groups(df, "id", F.col("content"), 0.6, 3, 8)
+    groups = near_duplicate_groups(df, "id", F.col("content"), 0.6, 3)
     links = _links({(i, c) for i, _, c in rows}, 0.6)
     parent = {}
 
@@ -67,13 +67,26 @@ def test_linkage_finds_what_all_pairs_find(spark):
     history = History(spark)
     pairs = None
     for b in (1, 2, 3):
+        history = History(spark, history.folder)  # opened again for each batch
         found = history.accept(df.where(F.col("batch") == b))
         pairs = found if pairs is None else pairs.unionByName(found)
     batch = {r[0]: r[1] for r in rows}
     expected = {p for p in _links([(r[0], r[3]) for r in rows], 0.6) if batch[p[0]] != batch[p[1]]}
     expected |= {(a[0], b[0]) for a, b in itertools.combinations(rows, 2) if page_of(a[4]) and page_of(a[4]) == page_of(b[4]) and a[1] != b[1]}
     assert {(r.id_a, r.id_b) for r in pairs.where("batch_a <> batch_b").collect()} == expected
-    best = repeated_records(history, pairs).collect()
+    cluster = {r.id: r.cluster for r in history.clusters().collect()}
+    parent = {i: i for i in batch}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in _links([(r[0], r[3]) for r in rows], 0.6) | {(a[0], b[0]) for a, b in itertools.combinations(rows, 2) if page_of(a[4]) and page_of(a[4]) == page_of(b[4])}:
+        parent[max(find(a), find(b))] = min(find(a), find(b))
+    assert cluster == {i: find(i) for i in batch}
+    assert (history.weights[:, 0] < 0).any() and history.weights[0, 3] > history.weights[0, 0]
+    best = repeated_records(History(spark, history.folder), pairs).collect()
     assert best and all(batch[r.repeats] < batch[r.id] for r in best)
 
 

@@ -27,5 +27,5 @@ def test_pairs_around_24_and_40_shingles_and_reordered_lines(spark):
     inserted = base[:10] + ["x1"] + base[10:20] + ["x2"] + base[20:31] + ["x3"] + base[31:]
     pairs = [(" ".join(base), " ".join(inserted))] + edited_pairs([24, 40], 0.6, 0.7, 3, each=30) + _reordered(20, 5)
     rows = [(2 * i + side, text) for i, pair in enumerate(pairs) for side, text in enumerate(pair)]
-    groups = near_duplicate_groups(spark.createDataFrame(rows, "id long, content string"), "id", F.col("content"), 0.6, 3, 8)
+    groups = near_duplicate_groups(spark.createDataFrame(rows, "id long, content string"), "id", F.col("content"), 0.6, 3)
     assert {tuple(r) for r in group_pairs(groups).collect()} >= {(2 * i, 2 * i + 1) for i in range(len(pairs))}
