@@ -16,13 +16,14 @@ SLICE = 1000
 
 
 def _item_shingles(items: list[tuple[int, str]], width: int, run: int) -> pd.DataFrame:
+    """Every shingle of every text, ``item`` being the number of the text; an id with two texts is two of them."""
     hashes, ends = sh.word_hashes([t for _, t in items])
     rows = []
-    for i, (item, _) in enumerate(items):
+    for i in range(len(items)):
         words = hashes[ends[i] : ends[i + 1]]
         if len(words) >= run:
             g, _ = sh.grams(words, np.array([0, len(words)]), width)
-            rows.append(pd.DataFrame({"item": item, "at": np.arange(len(g)), "shingle": g}))
+            rows.append(pd.DataFrame({"item": i, "at": np.arange(len(g)), "shingle": g}))
     return pd.concat(rows, ignore_index=True) if rows else pd.DataFrame({"item": [], "at": [], "shingle": []}).astype({"item": "i8", "at": "i8", "shingle": "u8"})
 
 
@@ -33,7 +34,7 @@ def leaked_items(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id",
     these prefix shingles are looked up in the documents. Rarity is counted over the whole corpus. A hit fixes how
     item and document lie on each other; the common stretch around it is then measured word by word, within
     the bounds of both texts. Items of fewer than ``run`` words, null texts and null ids give nothing;
-    repeated rows count once. The items are the query set: they are taken in blocks of ``block_words``
+    repeated rows count once, and an id with several texts is leaked by any of them. The items are the query set: they are taken in blocks of ``block_words``
     words, and only a block's shingles are broadcast, whatever the number of items.
     """
     spark = documents.sparkSession
@@ -85,13 +86,11 @@ def _leaks_of_block(spark, docs: DataFrame, block: list[tuple[int, str]], run: i
     rows.sort()
     prefix = np.array([r[0] for r in rows], "u8"), np.array([r[1] for r in rows], "i8"), np.array([r[2] for r in rows], "i8")
     words, ends = sh.word_hashes([t for _, t in block])
-    texts = {}
-    for i, (item, _) in enumerate(block):
-        texts.setdefault(item, words[ends[i] : ends[i + 1]])
-    shared = spark.sparkContext.broadcast((prefix, texts))
+    texts = [words[ends[i] : ends[i + 1]] for i in range(len(block))]
+    shared = spark.sparkContext.broadcast((prefix, texts, [item for item, _ in block]))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (table, item_of, place_of), texts = shared.value
+        (table, item_of, place_of), texts, ids = shared.value
         for whole in batches:
             for at in range(0, whole.num_rows, SLICE):
                 batch = whole.slice(at, SLICE)
@@ -120,7 +119,7 @@ def _leaks_of_block(spark, docs: DataFrame, block: list[tuple[int, str]], run: i
                             b = apart[apart >= lead]
                             if (b[0] if len(b) else lead + rest) - (a[-1] + 1 if len(a) else 0) >= run:
                                 found.add((d, item))
-                pairs = sorted(found)
+                pairs = sorted({(d, ids[i]) for d, i in found})
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([d for d, _ in pairs], pa.int64())), pa.array([i for _, i in pairs], pa.int64())], names=["doc", "item"])
 
     return docs.mapInArrow(verify, f"doc {docs.schema['doc'].dataType.simpleString()}, item bigint")

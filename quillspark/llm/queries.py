@@ -11,7 +11,7 @@ from quillspark.llm.leaks import leaked_items
 from quillspark.llm.linkage import History, repeated_records
 from quillspark.llm.neardup import group_pairs, near_duplicate_groups
 from quillspark.llm.neighbours import nearest_neighbours, similar_pairs
-from quillspark.llm.split import split_items
+from quillspark.llm.split import one_text, split_items
 from quillspark.llm.tokenize import encode_corpus
 from quillspark.session import drop_path, materialize, table, tokenizer_dir
 
@@ -40,22 +40,18 @@ def p2_repeats(spark, sf):
     return repeated_records(*_deliveries(spark, sf))
 
 
-def _items(spark, sf, with_content):
-    docs = table(spark, sf, "kb_documents").select("id", "content")
-    chunks = table(spark, sf, "kb_chunks").select("id", "document_id", "content")
-    return split_items(docs, "id", "content", "document", with_content=with_content), split_items(chunks, "id", "content", "chunk", with_content=with_content), chunks
-
-
 def p4_found(spark, sf):
-    docs, chunks, _ = _items(spark, sf, False)
-    return docs.unionByName(chunks).select("item_kind", "item_id", "boundary").distinct()
+    docs, chunks = table(spark, sf, "kb_documents").select("id", "content"), table(spark, sf, "kb_chunks").select("id", "content")
+    pieces = split_items(docs, "id", "content", "document", with_content=False).unionByName(split_items(chunks, "id", "content", "chunk", with_content=False))
+    return pieces.where("chunk_index = 0").select("item_kind", "item_id", "boundary").distinct()
 
 
 def p4_pieces(spark, sf):
-    docs, chunks, source = _items(spark, sf, True)
-    owners = source.select(F.col("id").alias("item_id"), "document_id").dropDuplicates(["item_id"])
-    both = docs.withColumn("document_id", F.col("item_id").cast("bigint")).unionByName(chunks.join(owners, "item_id"))
-    return both.dropDuplicates(["item_kind", "item_id", "chunk_index"]).select("item_kind", "item_id", "document_id", "chunk_index", "content")
+    docs, chunks = table(spark, sf, "kb_documents").select("id", "content"), table(spark, sf, "kb_chunks").select("id", "document_id", "content")
+    owners = chunks.select(F.col("id").alias("item_id"), "document_id").groupBy("item_id").agg(F.min("document_id").alias("document_id"))
+    both = split_items(one_text(docs, "id", "content"), "id", "content", "document").withColumn("document_id", F.col("item_id").cast("bigint"))
+    both = both.unionByName(split_items(one_text(chunks, "id", "content"), "id", "content", "chunk").join(owners, "item_id"))
+    return both.select("item_kind", "item_id", "document_id", "chunk_index", "content")
 
 
 def _personal(spark, sf, of):

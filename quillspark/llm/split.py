@@ -12,17 +12,26 @@ from pyspark.sql import functions as F
 _LINE = re.compile(r"[^\r\n]*(?:\r\n|\r|\n|$)")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|[\r\n]+")
 _SPACE = re.compile(r"\s+")
-_HEADING = re.compile(r"#{1,6}\s")
-KINDS = ("blank_line", "line", "sentence", "word")
+_HEADING = re.compile(r"(#{1,6})\s|\s*<h([1-6])[\s>]")
+_ENTRY = re.compile(r"([ \t]*)(?:[-*+]|\d{1,9}[.)])\s")
+KINDS = ("blank_line", "line", "sentence", "word", "none")
+#: Depths of the tree: six levels of headings, blocks between blank lines, four levels of list entries, lines, sentences, words.
+BLOCKS, LISTS, LINES = 6, 4, 11
 
 
 class Tree:
-    """The cuts a text offers at each depth of its structure: sections, blocks, lines, sentences, words."""
+    """A text as a tree: sections within sections by the level of their headings, then blocks, list entries within
+    entries by their indentation, lines, sentences and words.
+
+    A node of one depth is what lies between two cuts of that depth; the cuts of a depth are among those of the next.
+    """
 
     def __init__(self, text: str):
         self.text = text
-        sections, blocks, lines = [], [], []
+        headings: list[tuple[int, int]] = []
+        blocks, lines, entries = [], [], []
         fenced, at = False, 0
+        indents: list[int] = []
         while at < len(text):
             end = _LINE.match(text, at).end()
             line = text[at:end]
@@ -32,55 +41,74 @@ class Tree:
             elif not fenced:
                 if not line.strip():
                     blocks.append(end)
-                elif _HEADING.match(line):
-                    sections.append(at)
+                elif m := _HEADING.match(line):
+                    headings.append((at, len(m[1]) if m[1] else int(m[2])))
+                    indents = []
+                elif m := _ENTRY.match(line):
+                    indent = len(m[1].expandtabs(4))
+                    while indents and indents[-1] > indent:
+                        indents.pop()
+                    if not indents or indents[-1] < indent:
+                        indents.append(indent)
+                    entries.append((at, len(indents)))
+                elif not line[:1].isspace():
+                    indents = []
             at = end
-        self.cuts = [sections, sorted({*sections, *blocks}), lines, None, None]
         self.blocks = blocks
+        sections = [[at for at, level in headings if level <= depth + 1] for depth in range(6)]
+        upper = {*sections[5], *blocks}
+        lists = [sorted({*upper, *(at for at, level in entries if level <= depth + 1)}) for depth in range(LISTS)]
+        self.cuts = [*sections, sorted(upper), *lists, sorted({*lines, *lists[-1]}), None, None]
 
     def at(self, depth: int) -> list[int]:
         if self.cuts[depth] is None:
-            self.cuts[depth] = [m.end() for m in (_SENTENCE if depth == 3 else _SPACE).finditer(self.text)]
+            self.cuts[depth] = [m.end() for m in (_SENTENCE if depth == LINES + 1 else _SPACE).finditer(self.text)]
         return self.cuts[depth]
 
-    def boundary(self, limit: int) -> str:
-        """The first kind of boundary at which cutting everywhere leaves no stretch over the limit."""
-        for kind, cuts in zip(KINDS, (self.blocks, self.at(2), self.at(3), self.at(4))):
-            start, fits = 0, True
-            for cut in [*cuts, len(self.text)]:
-                if cut - start > limit and len(self.text[start:cut].strip()) > limit:
-                    fits = False
-                    break
-                start = cut
-            if fits:
-                return kind
-        return "none"
+    def parts(self, start: int, end: int, cuts: list[int]) -> list[tuple[int, int]]:
+        """The children of a node."""
+        inner = cuts[_bisect(cuts, start) : _bisect(cuts, end - 1)]
+        return list(zip([start, *inner], [*inner, end]))
 
     def pack(self, room: int) -> list[tuple[int, int]]:
-        """Spans of at most ``room`` characters that cover the text, cut as high in the tree as they can be."""
+        """Spans of at most ``room`` characters that cover the text, cut as high in the tree as they can be.
+
+        Sibling subtrees are merged up to ``room``, and only oversized nodes are entered. What is left of an entered
+        section is not merged with the section after it; of blocks and smaller nodes it is.
+        """
         return self._pack(0, len(self.text), 0, room)
 
     def _pack(self, start: int, end: int, depth: int, room: int) -> list[tuple[int, int]]:
         if end - start <= room:
             return [(start, end)] if end > start else []
-        if depth == 5:
+        if depth == len(self.cuts):
             return [(x, min(x + room, end)) for x in range(start, end, room)]
-        cuts = self.at(depth)
-        low, high = _bisect(cuts, start), _bisect(cuts, end - 1)
-        parts = [start, *cuts[low:high], end]
         out: list[tuple[int, int]] = []
-        open_ = False  # whether the last span may still take a sibling
-        for a, b in zip(parts, parts[1:]):
+        joins = False  # whether the last span may still take a sibling
+        for a, b in self.parts(start, end, self.at(depth)):
             if b - a > room:
                 out += self._pack(a, b, depth + 1, room)
-                open_ = True
-            elif open_ and b - out[-1][0] <= room:
+                joins = depth >= BLOCKS
+            elif joins and b - out[-1][0] <= room:
                 out[-1] = (out[-1][0], b)
             else:
                 out.append((a, b))
-                open_ = True
+                joins = True
         return out
 
+    def boundary(self, limit: int) -> str:
+        """The first kind of boundary at which cutting everywhere leaves no stretch over the limit.
+
+        Only stretches between blank lines that are too long are entered: within them the later kinds cut ever finer.
+        """
+        long = lambda x, y: y - x > limit and len(self.text[x:y].strip()) > limit
+        worst = 0
+        for start, end in self.parts(0, len(self.text), self.blocks):
+            if long(start, end):
+                fits = (k for k in (1, 2, 3) if not any(long(x, y) for x, y in self.parts(start, end, self.at(LINES + k - 1))))
+                worst = max(worst, next(fits, 4))
+        return KINDS[worst]
+
 
 def _bisect(cuts: list[int], x: int) -> int:
     """The number of cuts that are at most ``x``."""
@@ -115,11 +143,10 @@ def split_items(df: DataFrame, id_col: str, content_col: str, kind: str, limit:
 
     One row per piece: ``(item_kind, item_id, boundary, chunk_index, start_pos, overlap, content)``, the id as
     text, ``overlap`` the number of first characters that the piece before holds too; dropping them and joining
-    the pieces gives the text back. A text is parsed to a tree (sections, blocks between blank lines, lines, sentences,
-    words); neighbouring subtrees are merged up to the limit, and only oversized nodes are entered. ``boundary`` is
-    the first kind of cut that would suffice everywhere, ``none`` if a run without white space is longer.
-    Null and shorter texts and null ids give no rows; repeated rows give repeated pieces. Without
-    ``with_content``, one row per text with null piece columns.
+    the pieces gives the text back. A text is parsed to a tree (see ``Tree``); sibling subtrees are merged up to the
+    limit, and only oversized nodes are entered. ``boundary`` is the first kind of cut that would suffice everywhere,
+    ``none`` if a run without white space is longer. Null and shorter texts and null ids give no rows; repeated rows
+    give repeated pieces (see ``one_text``). Without ``with_content`` the pieces come without their text.
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -127,12 +154,10 @@ def split_items(df: DataFrame, id_col: str, content_col: str, kind: str, limit:
             rows = []
             for item, text in zip(frame.item_id, frame.content):
                 tree = Tree(text)
+                pieces = pieces_of(text, limit, overlap, tree)
                 kind_of = tree.boundary(limit)
-                if not with_content:
-                    rows.append((kind, item, kind_of, None, None, None, None))
-                    continue
-                for index, (start, end, back) in enumerate(pieces_of(text, limit, overlap, tree)):
-                    rows.append((kind, item, kind_of, index, start, back, text[start:end]))
+                for index, (start, end, back) in enumerate(pieces):
+                    rows.append((kind, item, kind_of, index, start, back, text[start:end] if with_content else None))
             out = pd.DataFrame(rows, columns=["item_kind", "item_id", "boundary", "chunk_index", "start_pos", "overlap", "content"])
             yield out.astype({"chunk_index": "Int32", "start_pos": "Int32", "overlap": "Int32"})
 
@@ -140,6 +165,8 @@ def split_items(df: DataFrame, id_col: str, content_col: str, kind: str, limit:
     return long.mapInPandas(run, "item_kind string, item_id string, boundary string, chunk_index int, start_pos int, overlap int, content string")
 
 
-def distinct_items(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """The rows of a table once each: repeated rows of a key are one."""
-    return df.select(*columns).dropDuplicates([key])
+def one_text(df: DataFrame, id_col: str, content_col: str, limit: int = 1500) -> DataFrame:
+    """The texts over ``limit``, one for each id: of differing rows the one with the smallest hash."""
+    long = df.where(F.length(content_col) > limit).withColumn("_h", F.sha2(content_col, 256))
+    first = long.groupBy(id_col).agg(F.min("_h").alias("_h"))
+    return long.join(first, [id_col, "_h"], "left_semi").dropDuplicates([id_col, "_h"]).drop("_h")

@@ -128,11 +128,47 @@ SPLITS = {"para\n\n" * 50: "blank_line", ("a" * 9 + "\n") * 50: "line", "One two
 
 @pytest.mark.parametrize("text", SPLITS)
 def test_split_boundary_and_round_trip(text):
-    assert Tree(text).boundary(100) == SPLITS[text]
-    pieces = pieces_of(text, 100)
+    tree = Tree(text)
+    pieces = pieces_of(text, 100, tree=tree)
+    assert tree.boundary(100) == SPLITS[text]
     assert "".join(text[s + o : e] for s, e, o in pieces) == text and max(e - s for s, e, _ in pieces) <= 100
 
 
+def test_sections_and_list_entries_stay_whole():
+    text = "# A\n" + "intro text\n" * 4 + "## A1\n" + "x y z\n" * 8 + "## A2\n" + "p q\n" * 8 + "# B\n" + "tail\n" * 5
+    assert [text[s:e].splitlines()[0] for s, e in Tree(text).pack(80)] == ["# A", "## A1", "## A2", "# B"]
+    items = "".join(f"- item {i}\n  - part a{i}\n  - part b{i}\n" for i in range(6))
+    assert all(items[s:e].startswith("- item") for s, e in Tree(items).pack(70))
+    nested = "- one\n" + "  - inner entry\n" * 8 + "- two\n"
+    assert all(nested[s:e].lstrip().startswith("- ") for s, e in Tree(nested).pack(40))
+
+
+def _plain_boundary(text, limit):
+    """The definition word by word: cut everywhere at one kind after the other."""
+    lines, fenced, block, stretches = re.split(r"(?<=\n)", text), False, "", []
+    for line in lines:
+        block += line
+        if line.lstrip().startswith("```"):
+            fenced = not fenced
+        elif not line.strip() and not fenced:
+            stretches.append(block)
+            block = ""
+    for kind, found in (("blank_line", [*stretches, block]), ("line", text.split("\n")), ("sentence", re.split(r"\n|(?<=[.!?])\s+", text)), ("word", text.split())):
+        if all(len(x.strip()) <= limit for x in found):
+            return kind
+    return "none"
+
+
+def test_boundary_against_the_definition():
+    rng = random.Random(9)
+    for _ in range(400):
+        text = "".join(rng.choice(["word ", "x" * rng.randint(1, 60), ". ", "! ", "\n", "\n\n", "```\n", "# H\n", "- e\n", "  ", "long word here "]) for _ in range(rng.randint(20, 90)))
+        tree = Tree(text)
+        pieces = pieces_of(text, 50, tree=tree)
+        assert tree.boundary(50) == (_plain_boundary(text, 50) if len(text) > 50 else "blank_line"), text
+        assert "".join(text[s + o : e] for s, e, o in pieces) == text and max(e - s for s, e, _ in pieces) <= 50
+
+
 def test_split_items(spark):
     df = spark.createDataFrame([(1, "a b. " * 400), (2, None), (3, ""), (4, "short"), (None, "x" * 2000)], "id long, content string")
     rows = split_items(df, "id", "content", "document").collect()
@@ -156,7 +192,8 @@ def test_perfect_hash_and_tokens(spark):
 def test_leaks_against_all_windows(spark):
     rng = random.Random(4)
     items = [(i, " ".join(rng.choice(WORDS) for _ in range(40))) for i in range(8)] + [(90, "short one"), (91, None)]
-    docs = []
+    items.append((3, " ".join(rng.choice(WORDS) for _ in range(30))))  # an id with two texts
+    docs = [(200, "x " + items[-1][1] + " y"), (201, items[3][1])]
     for d in range(60):
         words = [rng.choice(WORDS) for _ in range(50)]
         item = items[d % 8][1].split()
