@@ -66,8 +66,11 @@ def hierarchy(df: DataFrame, id_col: str = "id", parent_col: str = "parent_id",
     trim = F.regexp_replace(F.col(parent_col).cast("string"), r"(?U)^\s+|\s+$", "")
     rows = df.select(F.col(id_col).cast("string").alias("node"), F.when(F.length(trim) > 0, trim).alias("parent")).where("node is not null")
     rows = rows.groupBy("node").agg(F.min("parent").alias("parent"))
+    rows = materialize(rows, "rows")
     known = rows.select(F.col("node").alias("parent"), F.lit(True).alias("known"))
-    level = rows.join(known, "parent", "left").select("node", F.when(F.col("known"), F.col("parent")).alias("parent"), F.array("node").alias("seg"))
+    linked = rows.where("parent is not null").join(known, "parent", "left").select("node", F.when(F.col("known"), F.col("parent")).alias("parent"))
+    # roots, which may be most rows, take no part in the join
+    level = linked.unionByName(rows.where("parent is null")).select("node", "parent", F.array("node").alias("seg"))
     level = materialize(level, "forest")
     rounds: list[DataFrame] = []
     while True:

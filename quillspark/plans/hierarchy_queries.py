@@ -4,8 +4,12 @@ from quillspark.operators.hierarchy import descendants, hierarchy, subtree_sizes
 from quillspark.session import table
 
 
+#: Nodes of a fragment; low enough that registered queries contract and expand.
+FRAGMENT = 10_000
+
+
 def _paths(spark, sf):
-    return hierarchy(table(spark, sf, "kb_topics").select("id", "parent_id"))
+    return hierarchy(table(spark, sf, "kb_topics").select("id", "parent_id"), fragment_rows=FRAGMENT)
 
 
 def queries():
