@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 import re
 import unicodedata
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.session import spread
+from quillspark.session import shared_dir, spread
 
 LANGS = ("en", "de", "fr", "es", "pt", "nl")
 #: Other spellings of the labels (three-letter codes and names); regions are cut off first.
@@ -41,37 +44,63 @@ def label_of(label: str | None) -> str | None:
     return NAMES.get(low) or NAMES.get(re.split(r"[-_ .(]", low)[0])
 
 
-def sentences(text: str | None) -> list[tuple[int, str]]:
-    """Start and text of the whole sentences of a text, without code, headings, fragments and short quotes.
+class Stretch(NamedTuple):
+    """A piece of prose: where it starts, its text without code, and whether it is a whole sentence."""
+
+    start: int
+    text: str
+    whole: bool
+
+
+def stretches(text: str | None) -> list[Stretch]:
+    """All prose of a text in order: sentences, headings, entries, notes; code and addresses are left out.
 
-    A whole sentence begins a line or follows another one, ends with a full stop, exclamation or question mark,
-    and has four words or more.
+    A whole sentence begins a line or follows another one, ends with a full stop, exclamation or question mark, and
+    has three words or more. A line that goes on in small letters belongs to the sentence of the line before.
     """
-    out: list[tuple[int, str]] = []
+    out: list[Stretch] = []
     if not text:
         return out
-    fenced = False
+    fenced, open_ = False, False
     at = 0
     for line in re.split(r"(\r\n|\r|\n)", text):
         start, at = at, at + len(line)
         if _FENCE.match(line):
-            fenced = not fenced
+            fenced, open_ = not fenced, False
             continue
-        if fenced or not line.strip() or line.lstrip("﻿ \t").startswith("#"):
+        if line in ("\n", "\r", "\r\n"):
             continue
+        if fenced or not line.strip():
+            open_ = False
+            continue
+        heading = line.lstrip("\ufeff \t").startswith("#")
         last = 0
         for m in [*_STOP.finditer(line), None]:
             end = m.start() if m else len(line)
             piece = line[last:end] + (m[0].rstrip(" \t|") if m else "")
             lead = _MARK.match(piece)
             offset = last + (lead.end() if lead else 0)
-            body = _CODE.sub(" ", piece[lead.end() if lead else 0 :]).strip()
-            if _WHOLE.search(body) and len(_LETTERS.findall(body)) >= 4:
-                out.append((start + offset, body))
+            raw = piece[lead.end() if lead else 0 :]
+            body = _CODE.sub(" ", raw).strip().lstrip("# ")
+            words = len(_LETTERS.findall(body))
+            ended = bool(_WHOLE.search(body))
+            if open_ and last == 0 and not lead and not heading and raw[:1].islower():
+                before = out.pop()
+                body = f"{before.text} {body}"
+                words = len(_LETTERS.findall(body))
+                out.append(Stretch(before.start, body, ended and words >= 3))
+            elif words:
+                out.append(Stretch(start + offset, body, ended and words >= 3 and not heading))
             last = m.end() if m else end
+            open_ = bool(words) and not ended and not heading and m is None
     return out
 
 
+def sentences(text: str | None) -> list[tuple[int, str]]:
+    """Start and text of the whole sentences of a text."""
+    return [(s.start, s.text) for s in stretches(text) if s.whole]
+
+
 def _bytes(text: str) -> np.ndarray:
     """Folded input: composed accents, small letters, digits as one sign."""
     folded = re.sub(r"\d", "0", re.sub(r"\s+", " ", unicodedata.normalize("NFC", text).lower()))
@@ -104,100 +133,121 @@ class ByteGRU:
             self.p["U" + d] = rng.normal(0, h**-0.5, (h, 3 * h))
         self.p = {k: v.astype("f4") for k, v in self.p.items()}
 
-    def _run(self, x: np.ndarray, mask: np.ndarray, d: str, keep: bool) -> tuple[np.ndarray, list]:
-        """States after each byte, (time, row, hidden); rows are over where the mask is 0."""
-        E, U, h = self.p["E" + d], self.p["U" + d], self.hidden
+    def _stacked(self) -> tuple[np.ndarray, np.ndarray]:
+        """Embeddings and recurrent weights of both directions, one above the other."""
+        return np.concatenate([self.p["Ef"], self.p["Eb"]]), np.stack([self.p["Uf"], self.p["Ub"]])
+
+    def _run(self, x: np.ndarray, mask: np.ndarray, keep: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, list]:
+        """States after each byte of both directions, which run side by side: (time, direction, row, hidden).
+
+        The backward direction reads each row from its last byte on; ``turn`` has the places. Rows are over where the
+        mask is 0.
+        """
+        (E, U), h = self._stacked(), self.hidden
         n, steps = x.shape
-        state, out, tape = np.zeros((n, h), "f4"), np.zeros((steps, n, h), "f4"), []
-        Ug, Uc = np.ascontiguousarray(U[:, : 2 * h]), np.ascontiguousarray(U[:, 2 * h :])
-        for t in range(steps) if d == "f" else range(steps - 1, -1, -1):
-            part = E[x[:, t]]
-            gates = _sigmoid(part[:, : 2 * h] + state @ Ug)
-            z, r = gates[:, :h], gates[:, h:]
+        size = mask.sum(1).astype("i8")[:, None]
+        turn = np.where(np.arange(steps) < size, size - 1 - np.arange(steps), np.arange(steps))
+        both = np.stack([x, np.take_along_axis(x, turn, 1) + 256])
+        state, out, tape = np.zeros((2, n, h), "f4"), np.zeros((steps, 2, n, h), "f4"), []
+        Ug, Uc = np.ascontiguousarray(U[:, :, : 2 * h]), np.ascontiguousarray(U[:, :, 2 * h :])
+        for t in range(steps):
+            part = E[both[:, :, t]]
+            gates = _sigmoid(part[:, :, : 2 * h] + state @ Ug)
+            z, r = gates[:, :, :h], gates[:, :, h:]
             reset = r * state
-            cand = np.tanh(part[:, 2 * h :] + reset @ Uc)
-            m = mask[:, t, None] * z
-            new = state + m * (cand - state)
+            cand = np.tanh(part[:, :, 2 * h :] + reset @ Uc)
+            new = state + mask[:, t, None] * z * (cand - state)
             if keep:
                 tape.append((t, state, z, r, reset, cand))
             state = new
             out[t] = state
-        return out, tape
+        return out, turn, both, tape
 
     def forward(self, x: np.ndarray, mask: np.ndarray, keep: bool = False):
-        f, tf = self._run(x, mask, "f", keep)
-        b, tb = self._run(x, mask, "b", keep)
-        both = np.concatenate([f, b], 2)
-        logits = both @ self.p["V"] + self.p["c"]
+        out, turn, both, tape = self._run(x, mask, keep)
+        back = np.take_along_axis(out[:, 1], turn.T[:, :, None], 0)
+        states = np.concatenate([out[:, 0], back], 2)
+        logits = states @ self.p["V"] + self.p["c"]
         logits -= logits.max(2, keepdims=True)
         prob = np.exp(logits)
         prob /= prob.sum(2, keepdims=True)
-        return prob, both, tf, tb
+        return prob, states, turn, both, tape
 
     def gradient(self, x: np.ndarray, mask: np.ndarray, y: np.ndarray) -> tuple[float, dict]:
         """Mean cross-entropy over all positions and its gradient, by backpropagation through time."""
-        prob, both, tf, tb = self.forward(x, mask, True)
+        prob, states, turn, both, tape = self.forward(x, mask, True)
         total = mask.sum()
         n, steps = x.shape
         loss = -(np.log(prob[:, np.arange(n), y] + 1e-9) * mask.T).sum() / total
         delta = prob.copy()
         delta[:, np.arange(n), y] -= 1
         delta *= (mask.T / total)[:, :, None]
-        g = {k: np.zeros_like(v) for k, v in self.p.items()}
-        g["V"] = np.einsum("tnh,tnl->hl", both, delta)
-        g["c"] = delta.sum((0, 1))
-        dboth = delta @ self.p["V"].T
         h = self.hidden
-        for d, tape, dout in (("f", tf, dboth[:, :, :h]), ("b", tb, dboth[:, :, h:])):
-            U = self.p["U" + d]
-            Ug, Uc = U[:, : 2 * h], U[:, 2 * h :]
-            dstate = np.zeros((n, h), "f4")
-            dpart = np.zeros((steps, n, 3 * h), "f4")
-            for t, state, z, r, reset, cand in reversed(tape):
-                dnew = dstate + dout[t]
-                m = mask[:, t, None]
-                dcand = dnew * m * z * (1 - cand * cand)
-                dreset = dcand @ Uc.T
-                dz = dnew * m * (cand - state) * z * (1 - z)
-                dr = dreset * state * r * (1 - r)
-                dgates = np.concatenate([dz, dr], 1)
-                dpart[t, :, : 2 * h], dpart[t, :, 2 * h :] = dgates, dcand
-                g["U" + d][:, : 2 * h] += state.T @ dgates
-                g["U" + d][:, 2 * h :] += reset.T @ dcand
-                dstate = dnew * (1 - m * z) + dreset * r + dgates @ Ug.T
-            order = np.argsort(x.T, axis=None, kind="stable")
-            flat = x.T.ravel()[order]
-            start = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
-            g["E" + d][flat[start]] = np.add.reduceat(dpart.reshape(-1, 3 * h)[order], start, axis=0)
+        g = {"V": states.reshape(-1, 2 * h).T @ delta.reshape(-1, delta.shape[2]), "c": delta.sum((0, 1))}
+        above = delta @ self.p["V"].T
+        dout = np.stack([above[:, :, :h], np.take_along_axis(above[:, :, h:], turn.T[:, :, None], 0)], 1)
+        E, U = self._stacked()
+        Ugt, Uct = np.ascontiguousarray(U[:, :, : 2 * h].transpose(0, 2, 1)), np.ascontiguousarray(U[:, :, 2 * h :].transpose(0, 2, 1))
+        dstate = np.zeros((2, n, h), E.dtype)
+        dpart = np.zeros((steps, 2, n, 3 * h), E.dtype)
+        dU = np.zeros_like(U)
+        for t, state, z, r, reset, cand in reversed(tape):
+            dnew = dstate + dout[t]
+            m = mask[:, t, None]
+            dcand = dnew * m * z * (1 - cand * cand)
+            dreset = dcand @ Uct
+            dgates = np.concatenate([dnew * m * (cand - state) * z * (1 - z), dreset * state * r * (1 - r)], 2)
+            dpart[t, :, :, : 2 * h], dpart[t, :, :, 2 * h :] = dgates, dcand
+            dU[:, :, : 2 * h] += state.transpose(0, 2, 1) @ dgates
+            dU[:, :, 2 * h :] += reset.transpose(0, 2, 1) @ dcand
+            dstate = dnew * (1 - m * z) + dreset * r + dgates @ Ugt
+        g["Uf"], g["Ub"] = dU
+        flat = both.transpose(2, 0, 1).ravel()
+        order = np.argsort(flat, kind="stable")
+        flat = flat[order]
+        start = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
+        dE = np.zeros_like(E)
+        dE[flat[start]] = np.add.reduceat(dpart.reshape(-1, 3 * h)[order], start, axis=0)
+        g["Ef"], g["Eb"] = dE[:256], dE[256:]
         return float(loss), g
 
     def fit(self, texts: list[str], labels: list[str], epochs: int = 14, batch: int = 48, rate: float = 0.01, seed: int = 3) -> "ByteGRU":
-        """Train with Adam on texts cut into stretches of up to 120 bytes."""
+        """Train with Adam on texts cut into stretches of up to 120 bytes; a batch holds stretches of like length.
+
+        The weights kept are a running average over the last steps, which is steadier than those of the last one.
+        """
         rng = np.random.default_rng(seed)
         rows, ys = [], []
-        for text, label in zip(texts, labels):
+        for text, label in dict.fromkeys(zip(texts, labels)):
             data = _bytes(text)
             for at in range(0, len(data), 120):
-                if len(data) - at >= 12:
+                if len(data) - at >= 12 or at == 0:
                     rows.append(data[at : at + 120])
                     ys.append(self.labels.index(label))
         first = {k: np.zeros_like(v) for k, v in self.p.items()}
         second = {k: np.zeros_like(v) for k, v in self.p.items()}
+        mean = {k: np.zeros_like(v) for k, v in self.p.items()}
+        size = np.array([len(r) for r in rows])
+        steps = epochs * -(-len(rows) // batch)
+        keep = 1 - 1 / max(2, min(200, steps / 8))
         step = 0
         for epoch in range(epochs):
-            order = rng.permutation(len(rows))
+            order = np.argsort(size + rng.uniform(0, 40, len(rows)), kind="stable")
+            batches = [order[at : at + batch] for at in range(0, len(order), batch)]
             now = rate * (1 - epoch / epochs) ** 0.5
-            for at in range(0, len(order), batch):
-                some = order[at : at + batch]
+            for which in rng.permutation(len(batches)):
+                some = batches[which]
                 x, mask = _pad([rows[i] for i in some])
                 _, g = self.gradient(x, mask, np.array([ys[i] for i in some]))
-                size = np.sqrt(sum(float((v * v).sum()) for v in g.values()))
+                norm = np.sqrt(sum(float((v * v).sum()) for v in g.values()))
                 step += 1
                 for k, v in g.items():
-                    v = v * min(1.0, 1.0 / (size + 1e-9))
+                    v = v * min(1.0, 1.0 / (norm + 1e-9))
                     first[k] = 0.9 * first[k] + 0.1 * v
                     second[k] = 0.99 * second[k] + 0.01 * v * v
                     self.p[k] -= (now * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-8)).astype("f4")
+                    mean[k] = keep * mean[k] + (1 - keep) * self.p[k]
+        self.p = {k: (v / (1 - keep**step)).astype("f4") for k, v in mean.items()} if step else self.p
         return self
 
     def probabilities(self, texts: list[str], batch: int = 512, width: int = 600) -> np.ndarray:
@@ -224,22 +274,46 @@ def train(samples: DataFrame, weak: DataFrame | None = None, weak_rows: int = 70
     """A network trained on correct samples (``lang``, ``text``), at most 5,000 of them.
 
     With ``weak``, sentences of at most ``weak_rows`` rows labelled with each language (``doc_id``, ``lang``, ``text``;
-    three times that for English, the most varied; those with the smallest hash of the id) are added where a first network, trained on the samples alone, agrees with their label, or
-    is unsure and nothing else in the text speaks against the label.
+    three times that for English, the most varied; those with the smallest hash of the id) are added where a first
+    network, trained on the samples alone, agrees with their label, or is unsure and nothing else in the text speaks
+    against the label. The fitted weights are kept in the shared folder under a hash of all they come from, and read
+    from there the next time.
     """
     rows = [r for r in samples.where("text is not null").orderBy(F.xxhash64("text")).limit(5000).collect() if label_of(r["lang"])]
+    more = []
+    if weak is not None:
+        place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
+        some = weak.where(F.col("lang").isin(*LANGS) & F.col("text").isNotNull()).select("lang", "text", "doc_id", place.alias("nth"))
+        more = some.where(F.col("nth") <= F.when(F.col("lang") == "en", 3 * weak_rows).otherwise(weak_rows)).orderBy("lang", "nth").select("lang", "text").collect()
+    content = json.dumps([hidden, [(r["lang"], r["text"]) for r in rows], [(r["lang"], r["text"]) for r in more]])
+    path = f"{shared_dir(samples.sparkSession)}/langid-{hashlib.sha256(content.encode()).hexdigest()[:24]}"
+    return _kept(samples.sparkSession, path, hidden) or _keep(samples.sparkSession, path, _fitted(rows, more, hidden))
+
+
+def _keep(spark, path: str, net: ByteGRU) -> ByteGRU:
+    rows = [(k, list(v.shape), v.astype("f4").tobytes()) for k, v in net.p.items()]
+    spark.createDataFrame(rows, "name string, shape array<int>, data binary").coalesce(1).write.mode("overwrite").parquet(path)
+    return net
+
+
+def _kept(spark, path: str, hidden: int) -> ByteGRU | None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+        return None
+    net = ByteGRU(hidden)
+    net.p = {r["name"]: np.frombuffer(bytes(r["data"]), "f4").reshape(r["shape"]).copy() for r in spark.read.parquet(path).collect()}
+    return net
+
+
+def _fitted(rows: list, more: list, hidden: int) -> ByteGRU:
     texts, labels = [], []
     for r in rows:
         for _, s in sentences(r["text"]) or [(0, r["text"])]:
             texts.append(s)
             labels.append(label_of(r["lang"]))
     net = ByteGRU(hidden).fit(texts, labels, epochs=7)
-    if weak is None:
+    if not more:
         return net
-    more = []
-    for lang in LANGS:
-        of_lang = weak.where((F.col("lang") == lang) & F.col("text").isNotNull())
-        more += of_lang.orderBy(F.xxhash64("doc_id"), "doc_id").limit(weak_rows * (3 if lang == "en" else 1)).select("lang", "text").collect()
     for r in more:
         lang = label_of(r["lang"])
         some = [s for _, s in sentences(r["text"])]
@@ -256,61 +330,85 @@ def train(samples: DataFrame, weak: DataFrame | None = None, weak_rows: int = 70
     return ByteGRU(hidden).fit(texts, labels, epochs=7)
 
 
+def languages_of(net: ByteGRU, texts: list[str | None], sure: float = 0.9) -> list[tuple[str | None, float, list[tuple]]]:
+    """``(lang, confidence, segments)`` of each text; a segment is ``(start, lang, whole sentences, confidence)``.
+
+    A document's probabilities are pooled over all positions of all its prose (a geometric mean), and ``lang`` is the most
+    likely one with its pooled probability; a text without prose has no language and confidence 0. A sentence the network is
+    not sure of (under ``sure``), and a piece that is no whole sentence, goes with the language of the document's other
+    sentences unless that is next to excluded for it.
+    """
+    found = [stretches(t) for t in texts]
+    flat = [s.text for some in found for s in some]
+    codes, unique = pd.factorize(np.array(flat, dtype=object)) if flat else (np.empty(0, "i8"), [])
+    prob = net.probabilities(list(unique))[codes] if flat else np.empty((0, len(LANGS)))
+    out, n = [], 0
+    for some in found:
+        own, n = prob[n : n + len(some)], n + len(some)
+        if not len(own):
+            out.append((None, 0.0, []))
+            continue
+        log = np.log(own + 1e-9)
+        size = np.array([len(s.text) for s in some])[:, None]
+        pooled = np.exp((log * size).sum(0) / size.sum())
+        pooled /= pooled.sum()
+        whole = np.array([s.whole for s in some])
+        firm = own.max(1) >= sure
+        basis = whole & firm if (whole & firm).any() else whole if whole.any() else firm if firm.any() else np.ones(len(some), bool)
+        main = log[basis].sum(0).argmax()
+        best = own.argmax(1)
+        words = np.array([len(_LETTERS.findall(s.text)) for s in some])
+        weak = (own.max(1) < sure) | (~whole & (words < 4)) | (words < 4) & (own.max(1) < 0.98)
+        best[weak & ((own[:, main] >= 0.05) | (words < 4))] = main
+        segs: list[list] = []
+        for k, s in enumerate(some):
+            if not segs or segs[-1][1] != LANGS[best[k]]:
+                segs.append([s.start, LANGS[best[k]], 0, []])
+            segs[-1][2] += int(s.whole)
+            segs[-1][3].append(own[k, best[k]])
+        out.append((LANGS[int(pooled.argmax())], float(pooled.max()), [(a, lang, w, float(np.mean(p))) for a, lang, w, p in segs]))
+    return out
+
+
 def segments(df: DataFrame, net: ByteGRU, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", sure: float = 0.9) -> DataFrame:
-    """``(doc_id, seg, start_pos, lang, sentences, confidence, given)``: each stretch of whole sentences in one language.
+    """``(doc_id, seg, start_pos, lang, sentences, confidence, given)``: each stretch of prose in one language, from seg 1 on.
 
-    ``given`` is the language the label names, if any. A sentence the network is not sure of (under ``sure``) goes
-    with the language of the document's other sentences, unless that is next to excluded for it. Texts without a whole sentence, null texts and null ids
-    have no rows; code, headings and short quotes belong to no segment. Repeated rows give repeated segments.
+    ``given`` is the language the label names, if any; ``sentences`` counts whole sentences. Row 0 of each document has its
+    most likely language with its pooled probability; null, blank and code-only texts have that row alone, with a null
+    language and confidence 0. Null ids have no rows; repeated rows give repeated segments.
     """
     spark = df.sparkSession
     shared = spark.sparkContext.broadcast(net)
     kind = df.schema[id_col].dataType.simpleString()
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        net = shared.value
         for whole in frames:
             for at in range(0, len(whole), 2000):
                 frame = whole.iloc[at : at + 2000]
-                found = [sentences(t) for t in frame.t]
-                flat = [s for some in found for _, s in some]
-                codes, unique = pd.factorize(np.array(flat, dtype=object)) if flat else (np.empty(0, "i8"), [])
-                prob = net.probabilities(list(unique))[codes] if flat else np.empty((0, len(LANGS)))
-                rows, n = [], 0
-                for i, label, some in zip(frame.i, frame.l, found):
-                    own, n = prob[n : n + len(some)], n + len(some)
-                    if not len(own):
-                        continue
-                    pooled = np.log(own + 1e-9).sum(0)
-                    best = own.argmax(1)
-                    firm = own.max(1) >= sure
-                    if firm.any():
-                        pooled = np.log(own[firm] + 1e-9).sum(0)
-                    main = pooled.argmax()
-                    best[(own.max(1) < sure) & (own[:, main] >= 0.05)] = main
+                rows = []
+                for i, label, (lang, confidence, segs) in zip(frame.i, frame.l, languages_of(shared.value, list(frame.t), sure)):
                     given = label_of(label)
-                    seg = 0
-                    for k in range(len(some)):
-                        if k == 0 or best[k] != best[k - 1]:
-                            seg += 1
-                            first = k
-                        if k + 1 == len(some) or best[k + 1] != best[k]:
-                            rows.append((i, seg, some[first][0], LANGS[best[k]], k + 1 - first, float(own[first : k + 1, best[k]].mean()), given))
+                    rows.append((i, 0, 0, lang, sum(s[2] for s in segs), confidence, given))
+                    rows += [(i, k, *s, given) for k, s in enumerate(segs, 1)]
                 yield pd.DataFrame(rows, columns=["doc_id", "seg", "start_pos", "lang", "sentences", "confidence", "given"])
 
-    rows = df.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("t"), F.col(label_col).cast("string").alias("l"))
+    rows = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("t"), F.col(label_col).cast("string").alias("l"))
     return spread(rows).mapInPandas(run, f"doc_id {kind}, seg int, start_pos int, lang string, sentences int, confidence double, given string")
 
 
 def document_languages(segs: DataFrame) -> DataFrame:
-    """``(doc_id, lang, confidence, languages, is_case)``: each document's main language and whether its label fails.
+    """``(doc_id, lang, confidence, languages, is_case)``: each document's language and whether its label fails.
 
-    ``languages`` are all that count, in order; a document is a case if its label names none of them alone.
+    ``languages`` are those of at least one whole sentence, in order; a document is a case if there are any and its label
+    does not name the only one.
     """
-    by_lang = segs.groupBy("doc_id", "lang").agg(F.sum("sentences").alias("n"), F.avg("confidence").alias("confidence"), F.first("given").alias("given"))
-    docs = by_lang.groupBy("doc_id").agg(F.max_by(F.struct("lang", "confidence"), F.struct("n", "confidence", "lang")).alias("main"), F.array_sort(F.collect_set("lang")).alias("languages"), F.first("given").alias("given"))
-    one = (F.size("languages") == 1) & F.coalesce(F.col("given") == F.element_at("languages", 1), F.lit(False))
-    return docs.select("doc_id", F.col("main.lang").alias("lang"), F.col("main.confidence").alias("confidence"), "languages", (~one).alias("is_case"))
+    docs = segs.groupBy("doc_id").agg(
+        F.max(F.when(F.col("seg") == 0, F.struct(F.col("confidence"), F.col("lang")))).alias("main"),
+        F.array_sort(F.collect_set(F.when((F.col("seg") > 0) & (F.col("sentences") > 0), F.col("lang")))).alias("languages"),
+        F.max("given").alias("given"),
+    )
+    one = (F.size("languages") == 1) & F.coalesce(F.col("given") == F.try_element_at("languages", F.lit(1)), F.lit(False))
+    return docs.select("doc_id", F.col("main.lang").alias("lang"), F.col("main.confidence").alias("confidence"), "languages", ((F.size("languages") > 0) & ~one).alias("is_case"))
 
 
 def label_cases(segs: DataFrame) -> DataFrame:

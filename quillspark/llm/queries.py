@@ -98,7 +98,7 @@ def queries():
         "p6_replaced": p6_replaced,
         "p6_surrogates": p6_surrogates,
         "p9_found": lambda spark, sf: langid.label_cases(_segments(spark, sf)),
-        "p9_segments": _segments,
+        "p9_segments": lambda spark, sf: _segments(spark, sf).where("seg > 0"),
         "p9_documents": lambda spark, sf: langid.document_languages(_segments(spark, sf)),
         "p7_ids": lambda spark, sf: encode_corpus(table(spark, sf, "documents"), "doc_id", "text", f"{tokenizer_dir()}/byte_bpe_50k.tiktoken"),
         "p8_found": lambda spark, sf: leaked_items(table(spark, sf, "documents"), table(spark, sf, "eval_items")),

@@ -245,6 +245,23 @@ def test_language_labels_and_sentences():
     assert [langid.label_of(x) for x in ("en-US", " Deutsch ", "español", "xx", "", None, "por")] == ["en", "de", "es", None, None, None, "pt"]
     text = "# Head line here now.\nThis is one sentence. (gezellig)\n```\ncode is not a sentence.\n```\n- Das ist noch ein Satz!"
     assert [s for _, s in langid.sentences(text)] == ["This is one sentence.", "Das ist noch ein Satz!"] and langid.sentences(None) == []
+    wrapped = "The first line goes on\nhere. Done.\n\n- Note without a stop\n`x = 1`"
+    assert [(wrapped[s.start :][:3], s.whole) for s in langid.stretches(wrapped)] == [("The", True), ("Don", False), ("Not", False)]
+
+
+def test_every_document_has_a_language_row(spark):
+    samples = [("en", "the house and the garden are with this man."), ("fr", "la maison et le jardin sont avec cette femme."), ("de", "das haus und der garten sind mit diesem mann.")] * 15
+    net = langid.train(spark.createDataFrame(samples, "lang string, text string"))
+    again = langid.train(spark.createDataFrame(samples, "lang string, text string"))
+    assert all((net.p[k] == again.p[k]).all() for k in net.p)
+    docs = [(1, "en", "the garden and the house with this man"), (2, None, None), (3, "", "```\nx = 1\n```"), (4, "en", "la maison et le jardin sont avec cette femme."), (5, "Français", "la femme et la maison sont avec le jardin."), (5, "Français", "la femme et la maison sont avec le jardin.")]
+    df = spark.createDataFrame(docs, "doc_id long, lang string, text string").withColumn("seg", F.lit("clash"))
+    rows = {r.doc_id: r for r in langid.document_languages(langid.segments(df, net)).collect()}
+    assert set(rows) == {1, 2, 3, 4, 5}
+    assert rows[1].lang == "en" and 0 < rows[1].confidence < 1 and rows[1].languages == [] and not rows[1].is_case
+    assert (rows[2].lang, rows[2].confidence, rows[3].lang) == (None, 0.0, None)
+    assert rows[4].is_case and rows[4].languages == ["fr"] and not rows[5].is_case
+    assert langid.document_languages(langid.segments(df.limit(0), net)).count() == 0
 
 
 def test_gradient_and_learning():
