@@ -5,12 +5,14 @@ from __future__ import annotations
 import hashlib
 import hmac
 import re
+import unicodedata
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from quillspark.session import materialize, spread
 
@@ -109,6 +111,90 @@ _ANCHOR = re.compile(r"(?i)fwd|forwarded|this is|looks like|badge|lunch|record|b
 
 KINDS = ("email", "phone", "id_number", "address", "name")
 
+# Names in any setting: capitalised candidates, scored by what they are made of and what stands around them.
+#: Common given names, female and male, of the six languages.
+FEMALE = frozenset("""anna maria laura julia sarah sara emma lena lisa eva clara sofia sophia sophie marie claire camille chloé alice louise
+jeanne élodie nathalie isabelle catherine elena lucía carmen isabel pilar marta paula ana beatriz inês joana rita catarina teresa mariana sanne
+anouk femke fleur ingrid katrin sabine petra monika ursula heike anke birgit mary jennifer linda elizabeth susan jessica karen nancy emily olivia
+grace hannah rachel rebecca helen martha ruth diana valentina gabriela fatima aisha mei yuki priya olga natalia irina tatiana svetlana""".split())
+MALE = frozenset("""john james robert michael william david richard thomas charles daniel matthew anthony mark paul steven andrew george kevin brian
+edward peter hans klaus jürgen wolfgang stefan andreas markus felix lukas max jan jonas tim pierre jean jacques michel philippe nicolas luc antoine
+olivier josé juan carlos luis antonio manuel javier miguel pedro pablo diego fernando alejandro joão paulo tiago rui nuno ricardo bruno daan sem
+lars bram sven erik joost pieter willem henk ahmed ali omar mohammed wei hiroshi raj ivan dmitri sergei igor boris""".split())
+_TITLES = r"(?:Dr|Prof|Mr|Mrs|Ms|Miss|Herrn?|Frau|Sr|Sra|Señora?|Don|Doña|Mme|Mlle|Monsieur|Madame|Dhr|Mevr|Mevrouw|Meneer|Dona|Senhora?)\.?"
+_UP = r"(?:[^\W\d_a-zß-öø-ÿ][^\W\d_]*(?:['’-][^\W\d_]+)*)"
+_INITIAL = r"(?:[^\W\d_a-zß-öø-ÿ]\.)"
+_PARTICLES = frozenset("van von de der den del la di da dos al el bin ter ten du le".split())
+_PARTICLE = r"(?:(?:van|von|de|der|den|del|la|di|da|dos|al|el|bin|ter|ten|du|le)[ ]){0,3}"
+CANDIDATE = re.compile(
+    rf"(?<![\w@./#<-])(?:(?P<inv>{_UP}),[ ](?P<invgiven>{_UP}|{_INITIAL})(?:[ ]{_INITIAL})?"
+    rf"|(?P<given>{_INITIAL}|{_UP})(?:[ ](?:{_INITIAL}|{_UP}))?[ ]{_PARTICLE}(?P<family>{_UP}))(?![\w@]|\.\w|-\w)"
+)
+_STRONG = re.compile(
+    r"(?i)(?:\b(?:(?:asked|ask|called|call|met|meet|contact|contacted|emailed|email|ping|pinged|tell|told|dear|hi|hello|hey|thanks|cc|attn|author|reporter|assignee|owner|colleague|engineer|manager|lawyer|doctor)"
+    r"|(?:(?:re)?viewed|approved|signed|written|reported|opened|assigned|filed|forwarded|sent|owned|led|booked|merged|fixed|tested|handled)[ ](?:by|from|to)"
+    r"|(?:met|meeting|lunch|speak|spoke|talk|talked|call|chat|chatted|work|worked|working|pair|paired|sync|synced|appointment|interview)[ ](?:with|to)|on[ ]behalf[ ]of|(?:my[ ])?name[ ]is|i[ ]am|i['’]m|this[ ]is|kudos[ ]to|thanks[ ]to"
+    r"|kollegin|kollege|liebe|lieber|hallo|hier[ ]ist|mein[ ]name[ ]ist|ich[ ]bin|ansprechpartner(?:in)?(?:[ ]ist)?|(?:geprüft|genehmigt|erstellt|unterschrieben|gemeldet)[ ]von|termin[ ]mit"
+    r"|bonjour|cher|chère|contacter|(?:vu|signé|approuvé|rédigé|envoyé)[ ]par|je[ ]suis|je[ ]m['’]appelle|rendez-vous[ ]avec"
+    r"|hola|estimad[oa]|soy|me[ ]llamo|pregunten?[ ]a|contactar[ ](?:a|con)|hablar[ ]con|(?:aprobado|firmado|revisado|escrito)[ ]por"
+    r"|olá|car[oa]|falar[ ]com|chamo-me|sou[ ][oa]|(?:aprovado|assinado|revisto|escrito)[ ]por|beste|vraag[ ](?:het[ ])?(?:aan)?|ik[ ]ben|(?:goedgekeurd|geschreven|getekend)[ ]door)[ ,:]*[ ])$"
+)
+_WEAK = re.compile(r"(?i)\b(?:by|with|from|for|to|von|mit|bei|für|an|par|avec|pour|chez|con|por|para|com|door|met|voor|aan|and|und|et|y|e|en)[ ]$")
+_BEHIND = re.compile(
+    r"(?i)(?:,)?[ ](?:(?:has|had)[ ](?:asked|said|joined|left|written|signed|confirmed|approved|moved)|asked|asks|said|says|wrote|writes|called|calls|confirmed|approved|reviewed|signed|reported|replied|lives|works|joined|left[ ]the|agreed|mentioned|thinks|complained|resigned|will[ ](?:call|join|send|ask|be)"
+    r"|hat[ ](?:gesagt|gefragt|geschrieben|unterschrieben)|sagt|sagte|fragt|fragte|schreibt|meint|wohnt|a[ ](?:dit|demandé|écrit|signé|confirmé)|habite|écrit[ ]que|dijo|preguntó|escribió|vive[ ]en|disse|perguntou|escreveu|mora[ ]em|zei|vroeg|schrijft|woont)\b"
+    r"|(?:['’]s[ ](?:desk|laptop|phone|number|email|address|team|manager|passport|account)\b)|[ ]?(?:<|&lt;|\()[\w.+-]+@|[ ]?[/|][ ]?\+?\(?\d"
+)
+_CLOSING = re.compile(r"(?i)(?:regards|cheers|thanks|thank you|best|sincerely|grü(?:ß|ss)en?|gruß|cordialement|bien à vous|saludos|atentamente|cumprimentos|atenciosamente|groeten|groetjes|mvg)[ ,.!]*\s*\n\s*(?:--\s*)?$")
+#: Capitalised words that start sentences or name things, never people.
+_NOT_PART = frozenset("""the this that these those there when where what which while with without please bitte danke and but for from after before since
+until every each some any all our your their his her its new old first last next main open closed error warning note todo see using user users admin
+der die das den dem ein eine wenn vor nach seit bei mit für und oder aber nicht danach deshalb trotzdem am im in zum zur viele es
+le la les un une des du si dans pour avec sans après avant depuis quand el los las una unos por para con sin desde cuando como o os as um uma
+de het een als voor na bij met en of maar monday tuesday wednesday thursday friday saturday sunday january february march april june july august
+september october november december montag dienstag mittwoch donnerstag freitag samstag sonntag lundi mardi mercredi jeudi vendredi lunes martes
+team project projekt gateway cluster studio console theme support desk bot service server street road avenue lane city park harbour harbor river lake
+mount north south east west united states kingdom university institute college school hospital bank company inc corp ltd gmbh group office department
+windows linux android chrome python java google microsoft apple amazon slack github cloud data machine learning product release version build api""".split())
+
+
+def _general_names(text: str) -> Iterator[tuple[int, int]]:
+    """Places of names by evidence: titles, given names, initials, what is done with people and what people do, signatures."""
+    last_end = -1
+    for m in CANDIDATE.finditer(text):
+        start, end = m.start(), m.end()
+        given, family = (m["invgiven"], m["inv"]) if m["inv"] else (m["given"], m["family"])
+        words = re.findall(r"[^\W\d_]+", m[0])
+        low = [w.lower() for w in words]
+        before = text[max(0, start - 48) : start]
+        if not m["inv"] and low[0] not in MALE | FEMALE and len(words) > 2 and (_STRONG.search(f"{before}{words[0]} ") or low[0] in _NOT_PART or re.fullmatch(_TITLES, words[0])):
+            start += len(m[0].split(" ")[0]) + 1  # a word of the sentence, not of the name
+            before, words, low = text[max(0, start - 48) : start], words[1:], low[1:]
+            given = words[0]
+        if sum(w not in _PARTICLES for w in words) < 2 or any(w.lower() in _NOT_PART and w not in _PARTICLES for w in words) or _NO_NAME.search(m[0]):
+            continue
+        if (after := re.match(r"[ -]([^\W\d_]+)", text[end:])) and after[1].lower() in _NOT_PART and after[1][0].isupper():
+            continue  # part of a longer name of a thing
+        score = 0
+        if title := re.search(rf"(?:^|[\s(,]){_TITLES}[ ]$", before):
+            score += 2
+        if given.rstrip(".").lower() in MALE or given.rstrip(".").lower() in FEMALE:
+            score += 2
+        if len(given.rstrip(".")) == 1:
+            score += 1
+        cue = before if not title else before[: title.start() + 1]
+        score += 2 if _STRONG.search(cue) else 1 if _WEAK.search(cue) else 0
+        if re.search(r"(?:and|und|et|y|e|en)[ ]$", before) and last_end >= start - 6:
+            score += 2
+        score += 2 if _BEHIND.match(text, end) else 0
+        if _CLOSING.search(text[max(0, start - 60) : start]) and re.match(r"\s*(?:\n|$|,|\.)", text[end:]):
+            score += 2
+        if re.search(r"(?i)(?:\bthe|\bin|\bnear|\bof|\bproject|\bversion)[ ]$", before) and not title:
+            score -= 2
+        if score >= 2:
+            last_end = end
+            yield start, end
+
 
 class Item(NamedTuple):
     kind: str
@@ -153,6 +239,9 @@ def find_items(text: str | None) -> list[Item]:
         if " both " in text:
             for m in _SECOND.finditer(text):
                 take("name", m.start("name"), m.end("name"))
+    if CANDIDATE.search(text):
+        for start, end in _general_names(text):
+            take("name", start, end)
     return sorted(taken, key=lambda t: t.start)
 
 
@@ -174,27 +263,19 @@ def personal_items(df: DataFrame, table_name: str, id_col: str, text_col: str) -
 
 # ---- surrogates
 
-_ONSETS = ("b", "br", "d", "f", "g", "gr", "h", "k", "l", "m", "n", "p", "r", "s", "t", "v", "w", "z")
-_VOWELS = ("a", "e", "i", "o", "u", "ia", "ei")
-_CODAS = ("n", "r", "l", "s", "m", "nd", "rt", "ck")
-
-
-def canonical(kind: str, item: str) -> str:
-    """What two mentions of the same entity have in common: case, spacing, order of a name's parts."""
-    low = item.lower().replace("\uff20", "@")
-    if kind == "email":
-        low = re.sub(r"\s*[\[(]?(?:@|\bat\b)[\])]?\s*", "@", low, count=1)
-        return re.sub(r"\s*[\[(]?\bdot\b[\])]?\s*", ".", low)
-    if kind in ("phone", "id_number"):
-        return re.sub(r"[^0-9a-z]", "", low.replace("(0)", ""))
-    if kind == "name" and "," in low:
-        family, given = (x.strip() for x in low.split(",", 1))
-        low = f"{given} {family}"
-    return re.sub(r"\s+", " ", low).strip()
+#: Syllables of made-up words by script; the first is Latin. The first letter of each script's block and its last.
+_SYLLABLES = {
+    ("\u0000", "\u024f"): ("b br d f g gr h k l m n p r s t v w z", "a e i o u ia ei", "n r l s m nd rt ck"),
+    ("\u0400", "\u04ff"): ("б бр д ф г гр к л м н п р с т в з", "а е и о у я", "н р л с м нд рт к"),
+    ("\u0370", "\u03ff"): ("β δ γ κ λ μ ν π ρ σ τ φ χ", "α ε ι ο η ω", "ν ρ λ"),
+    ("\u0590", "\u05ff"): ("ב ג ד ה ל מ נ ר ש ת", "א ו י", "ן ר ל"),
+    ("\u0600", "\u06ff"): ("ب د ر س ف ل م ن ه", "ا و ي", "ن ر ل"),
+}
+_DNI = "TRWAGMYFPDXBNJZSQVHLCKE"  # fixed value: check letters by remainder
 
 
 class _Keyed:
-    """A stream of numbers fixed by key, kind, entity and attempt."""
+    """A stream of numbers fixed by key, kind, unit and attempt."""
 
     def __init__(self, key: bytes, *what: str):
         self.key, self.what, self.at, self.pool = key, "\x1f".join(what), 0, b""
@@ -207,8 +288,73 @@ class _Keyed:
         return x % n
 
 
-def _syllables(rng: _Keyed, count: int) -> str:
-    return "".join(_ONSETS[rng.pick(len(_ONSETS))] + _VOWELS[rng.pick(len(_VOWELS))] for _ in range(count)) + _CODAS[rng.pick(len(_CODAS))]
+def _plain(item: str) -> str:
+    return re.sub(r"\s+", " ", unicodedata.normalize("NFC", item).lower()).strip()
+
+
+def units_of(kind: str, item: str) -> list[str]:
+    """What of a mention gets a surrogate of its own, the same for all mentions of an entity.
+
+    Of a name each word but particles and initials, so that family names stay common to relatives and to short and
+    reversed forms; of the other kinds the whole item without its spelling.
+    """
+    low = _plain(item)
+    if kind == "name":
+        return list(dict.fromkeys(w for w in re.findall(r"[^\W\d_]+", low) if len(w) > 1 and w not in _PARTICLES))
+    if kind == "email":
+        low = re.sub(r"\s*[\[(]?(?:@|\uff20|\bat\b)[\])]?\s*", "@", low, count=1)
+        return [re.sub(r"\s*[\[(]?\bdot\b[\])]?\s*", ".", low)]
+    if kind == "phone":
+        digits = re.sub(r"\D", "", low.replace("(0)", ""))
+        return [digits[2:] if low.startswith("00") else digits]
+    if kind == "id_number":
+        return [re.sub(r"[^0-9a-z]", "", low)]
+    return [low]
+
+
+def _letter(key: bytes, letter: str) -> str:
+    """The first letter that names beginning with ``letter`` get: a keyed permutation, so initials agree with full names."""
+    letters = sorted("bdfghklmnprstvwz" + "aeiou" + "cjqxy")
+    order = sorted(letters, key=lambda c: hmac.new(key, f"initial{c}".encode(), hashlib.sha256).digest())
+    at = unicodedata.normalize("NFD", letter.lower())[0]
+    return order[letters.index(at)] if at in letters else letter.lower()
+
+
+def _word(key: bytes, kind: str, word: str, attempt: int) -> str:
+    """A made-up word in the script of ``word``; a name keeps the keyed initial and, ending in a vowel, ends in one."""
+    rng = _Keyed(key, kind, word, str(attempt))
+    low = next((s for (a, b), s in _SYLLABLES.items() if a <= word[0] <= b), _SYLLABLES["\u0000", "\u024f"])
+    onsets, vowels, codas = (x.split() for x in low)
+    latin = "\u0000" <= word[0] <= "\u024f"
+    count = 2 + attempt // 3
+    out = "".join(onsets[rng.pick(len(onsets))] + vowels[rng.pick(len(vowels))] for _ in range(count))
+    female = word in FEMALE or (word not in MALE and word[-1] in "aαая")
+    if kind == "name" and latin:
+        out = _letter(key, word[0]) + (vowels[rng.pick(5)] if _letter(key, word[0]) not in "aeiou" else "") + out
+        return out + ("na" if female else "o" if word[-1] in "oi" else codas[rng.pick(len(codas))])
+    return out if female else out + codas[rng.pick(len(codas))]
+
+
+def unit_surrogate(kind: str, unit: str, key: bytes, attempt: int = 0) -> str:
+    """The surrogate of one unit in the unit's own spelling, fixed by the key and the attempt."""
+    rng = _Keyed(key, kind, unit, str(attempt))
+    if kind == "name":
+        return _word(key, kind, unit, attempt)
+    if kind == "email":
+        return f"{_word(key, 'local', unit, attempt)}{rng.pick(10**4)}@{_word(key, 'domain', unit.partition('@')[2], 0)}.example"
+    if kind == "phone":
+        keep = 2 if len(unit) > 10 else 0
+        return unit[:keep] + "".join(str(rng.pick(10)) for _ in unit[keep:])
+    if kind == "id_number":
+        new = "".join(str(rng.pick(10)) if c.isdigit() else c for c in unit)
+        if re.fullmatch(r"[a-z]{2}\d\d[0-9a-z]{10,30}", unit):  # with valid check digits
+            value = int("".join(str(int(c, 36)) for c in new[4:] + new[:2] + "00"))
+            new = f"{new[:2]}{98 - value % 97:02d}{new[4:]}"
+        elif re.fullmatch(r"\d{8}[a-z]", unit):
+            new = new[:8] + _DNI[int(new[:8]) % 23].lower()
+        return new
+    words = {w: _word(key, "place", w, attempt) for w in set(re.findall(r"[^\W\d_]{5,}", unit))}
+    return re.sub(r"\d|[^\W\d_]{5,}", lambda m: words.get(m[0]) or str(1 + rng.pick(9)), unit)
 
 
 def _dress(word: str, like: str) -> str:
@@ -216,67 +362,68 @@ def _dress(word: str, like: str) -> str:
     return word.upper() if like.isupper() and len(like) > 1 else word if like.islower() else word[:1].upper() + word[1:]
 
 
-def surrogate(kind: str, item: str, key: bytes, attempt: int = 0) -> str:
-    """A replacement of the same kind and format, fixed by the key: the same entity always gets the same one.
-
-    Names keep their order, initials, particles and case, and given names ending in a vowel get such ones
-    (the form that mostly goes with the gender); numbers keep their separators, brackets and letters; addresses keep
-    their layout, e-mail addresses their at sign. Words in other scripts than Latin keep their script.
-    """
-    rng = _Keyed(key, kind, canonical(kind, item), str(attempt))
+def put_surrogates(kind: str, item: str, new: dict[str, str], key: bytes) -> str:
+    """A mention with the surrogates of its units in it, in the mention's spelling: case, order, separators, initials."""
     if kind == "name":
-        words = {}
-        for word in sorted({w.lower() for w in re.findall(_PART, item)}):
-            own = _Keyed(key, kind, canonical(kind, item), word, str(attempt))
-            new = _syllables(own, 2) if len(word) > 1 else _ONSETS[own.pick(len(_ONSETS))][0]
-            if len(word) > 1 and word[-1] in "aeioué":
-                new += "a" if word[-1] == "a" else "e" if word[-1] in "eé" else "io"
-            words[word] = new
-        kept = {"van", "von", "de", "der", "den", "del", "la", "di", "da", "dos", "al", "el", "bin", "ter", "ten"}
-        return re.sub(_PART, lambda m: m[0] if m[0].lower() in kept else _script(_dress(words[m[0].lower()], m[0]), m[0]), item)
+        nfc = unicodedata.normalize("NFC", item)
+        one = lambda m: m[0] if m[0].lower() in _PARTICLES else _letter(key, m[0]).upper() if len(m[0]) == 1 and m[0].isupper() else _dress(new.get(m[0].lower(), m[0].lower()), m[0])
+        return re.sub(r"[^\W\d_]+", one, nfc)
+    [unit] = units_of(kind, item)
+    value = new.get(unit, unit)
     if kind == "email":
         m = re.search(r"@|\uff20|\s*\(@\)\s*|\s*[\[(](?:at|AT)[\])]\s*|\s+(?:at|AT)\s+", item)
-        local = _syllables(rng, 3) + str(rng.pick(10**6))
-        return _dress(local, item[: m.start()]) + m[0] + re.sub(r"[^\W\d_]{4,}", "example", item[m.end() :], count=1) if m else local
+        local, _, domain = value.partition("@")
+        dot = re.search(r"\s*[\[(](?:dot|DOT)[\])]\s*|\s+(?:dot|DOT)\s+", item)
+        return local + (m[0] if m else "@") + domain.replace(".", dot[0] if dot else ".")
     if kind in ("phone", "id_number"):
-        head = re.match(r"(?:\+|00)\d{1,2}", item) if kind == "phone" else None
-        start = head.end() if head else 0
-        return item[:start] + re.sub(r"\d", lambda m: str(rng.pick(10)), item[start:])
-    digits = re.sub(r"\d", lambda m: str(1 + rng.pick(9)), item)
-    words = {w: _syllables(rng, 2) for w in sorted(set(re.findall(r"[^\W\d_]{5,}", digits)))}
-    return re.sub(r"[^\W\d_]{5,}", lambda m: _script(_dress(words[m[0]], m[0]), m[0]), digits)
+        left = list(value)
+        free = re.sub(r"\(0\)", lambda m: "(\x00)", item)
+        head = 2 if kind == "phone" and free.startswith("00") else 0
+        out = item[:head]
+        for c in free[head:]:
+            take = c.isdigit() if kind == "phone" else c.isascii() and c.isalnum()
+            out += (left.pop(0).upper() if c.isupper() else left.pop(0)) if take and left else c
+        return out.replace("\x00", "0")
+    parts = iter(re.findall(r"\d|[^\W\d_]+", value))
+    return re.sub(r"\d|[^\W\d_]+", lambda m: _dress(next(parts, m[0]), m[0]), unicodedata.normalize("NFC", item))
 
 
-def _script(word: str, like: str) -> str:
-    """Latin letters moved into the block of another script, if the original is in one."""
-    first = ord(like[0])
-    for low, high in ((0x0430, 0x044F), (0x0410, 0x042F), (0x03B1, 0x03C9), (0x05D0, 0x05EA), (0x0627, 0x064A)):
-        if low <= first <= high:
-            return "".join(chr(low + (ord(c.lower()) - 97) % (high - low + 1)) for c in word if "a" <= c.lower() <= "z")
-    return word
+def _units(items: DataFrame) -> DataFrame:
+    """Every item with each of its units, one row for each."""
 
+    @F.pandas_udf(ArrayType(StringType()))
+    def of(kind: pd.Series, item: pd.Series) -> pd.Series:
+        return pd.Series([units_of(k, i) for k, i in zip(kind, item)])
 
-def surrogate_table(items: DataFrame, key: bytes, rounds: int = 12) -> DataFrame:
-    """``(kind, entity, attempt)``: for every entity found the attempt whose surrogate is no other entity's.
+    return items.withColumn("unit", F.explode_outer(of("kind", "item")))
 
-    Distinct entities are tried in rounds: those whose surrogate another entity has (the smaller entity keeps
-    it) try the next one. Works on the distinct entities only, without sending any to the driver.
+
+def surrogate_table(items: DataFrame, key: bytes) -> DataFrame:
+    """``(kind, unit, surrogate)``: for every unit found a surrogate that no other unit has and no original is.
+
+    Units whose surrogate is taken (of several the smallest unit keeps it) or equals an original try the next one, for as
+    many rounds as it takes; surrogates grow with the attempts. Works on distinct units, none is sent to the driver.
     """
-    canon = F.udf(canonical, "string")
-    attempt_of = F.udf(lambda kind, entity, n: canonical(kind, surrogate(kind, entity, key, n)), "string")
-    left = items.select("kind", canon("kind", "item").alias("entity")).distinct().withColumn("attempt", F.lit(0))
-    done = None
-    for n in range(rounds):
-        tried = left.withColumn("core", attempt_of("kind", "entity", F.lit(n))).withColumn("old", F.lit(False))
-        if done is not None:
-            tried = tried.unionByName(done.withColumn("old", F.lit(True)))
-        first = tried.groupBy("kind", "core").agg(F.min(F.struct(~F.col("old"), F.col("entity"))).alias("first"))
-        judged = materialize(tried.join(first, ["kind", "core"]).withColumn("wins", F.col("old") | (F.col("first.entity") == F.col("entity"))), "surrogates")
-        done = judged.where("wins").select("kind", "entity", "attempt", "core")
-        left = judged.where("not wins").select("kind", "entity", F.lit(n + 1).alias("attempt"))
+
+    @F.pandas_udf(StringType())
+    def make(kind: pd.Series, unit: pd.Series, attempt: pd.Series) -> pd.Series:
+        return pd.Series([unit_surrogate(k, u, key, n) for k, u, n in zip(kind, unit, attempt)])
+
+    left = materialize(_units(items).where("unit is not null").select("kind", "unit").distinct(), "units")
+    originals = left.select("kind", F.col("unit").alias("surrogate"))
+    left, done, attempt = left.withColumn("attempt", F.lit(0)), None, 0
+    while True:
+        tried = left.withColumn("surrogate", make("kind", "unit", "attempt"))
+        taken = originals if done is None else originals.unionByName(done.select("kind", "surrogate"))
+        tried = tried.join(taken.withColumn("taken", F.lit(True)).distinct(), ["kind", "surrogate"], "left")
+        first = tried.groupBy("kind", "surrogate").agg(F.min("unit").alias("first"))
+        judged = materialize(tried.join(first, ["kind", "surrogate"]).withColumn("wins", F.col("taken").isNull() & (F.col("first") == F.col("unit"))), "surrogates")
+        won = judged.where("wins").select("kind", "unit", "surrogate")
+        done = won if done is None else done.unionByName(won)
+        attempt += 1
+        left = judged.where("not wins").select("kind", "unit", F.lit(attempt).alias("attempt"))
         if not left.limit(1).count():
-            return done.select("kind", "entity", "attempt")
-    return done.select("kind", "entity", "attempt").unionByName(left)
+            return done
 
 
 def replace_items(df: DataFrame, table_name: str, id_col: str, text_col: str, key: bytes = b"quillspark", surrogates: DataFrame | None = None) -> DataFrame:
@@ -289,16 +436,26 @@ def replace_items(df: DataFrame, table_name: str, id_col: str, text_col: str, ke
     rows = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("row_id"), F.col(text_col).cast("string").alias("text")).dropDuplicates(["row_id"])
     if surrogates is None:
 
-        @F.pandas_udf("string")
+        @F.pandas_udf(StringType())
         def plain(texts: pd.Series) -> pd.Series:
             return texts.map(lambda t: _splice(t, [(i.start, i.end, f"[{i.kind.upper()}]") for i in find_items(t)]), na_action="ignore")
 
         return rows.select(F.lit(table_name).alias("table_name"), "row_id", plain("text").alias("text"))
-    canon = F.udf(canonical, "string")
-    items = personal_items(rows, table_name, "row_id", "text").withColumn("entity", canon("kind", "item"))
-    found = items.join(surrogates, ["kind", "entity"], "left").groupBy("row_id").agg(F.collect_list(F.struct("start_pos", "end_pos", "kind", "item", F.coalesce("attempt", F.lit(0)).alias("attempt"))).alias("items"))
-    put = F.udf(lambda t, items: t if t is None or not items else _splice(t, [(i.start_pos, i.end_pos, surrogate(i.kind, i.item, key, i.attempt)) for i in items]), "string")
-    return rows.join(found, "row_id", "left").select(F.lit(table_name).alias("table_name"), "row_id", put("text", "items").alias("text"))
+    rows = materialize(rows, "texts")
+    items = _units(personal_items(rows, table_name, "row_id", "text"))
+    found = items.join(surrogates, ["kind", "unit"], "left").groupBy("row_id").agg(F.collect_list(F.struct("start_pos", "end_pos", "kind", "item", "unit", "surrogate")).alias("items"))
+
+    def put(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for text, items in zip(frame["text"], frame["items"]):
+                spans: dict = {}
+                for i in items if items is not None else []:
+                    spans.setdefault((i["start_pos"], i["end_pos"], i["kind"], i["item"]), {})[i["unit"]] = i["surrogate"]
+                out.append(_splice(text, [(a, b, put_surrogates(kind, item, new, key)) for (a, b, kind, item), new in spans.items()]) if spans else text)
+            yield pd.DataFrame({"table_name": table_name, "row_id": frame["row_id"], "text": out})
+
+    return rows.join(found, "row_id", "left").mapInPandas(put, "table_name string, row_id bigint, text string")
 
 
 def _splice(text: str, parts: list[tuple[int, int, str]]) -> str:

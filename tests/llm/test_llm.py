@@ -228,17 +228,57 @@ def test_personal_items(text, expected):
     assert [(i.kind, text[i.start : i.end]) for i in personal.find_items(text)] == expected
 
 
-def test_replacements(spark):
+#: Settings that no rule was made from.
+NAMED = [
+    ("The invoice goes to Maria Lopez, not to accounting.", ["Maria Lopez"]),
+    ("Yesterday I met J. de Vries and Anna Weber.", ["J. de Vries", "Anna Weber"]),
+    ("Dear Mr. John Miller, your order shipped", ["John Miller"]),
+    ("Termin mit Frau Jelka Brandt um 9", ["Jelka Brandt"]),
+    ("Le contrat est signé par Sophie Martin", ["Sophie Martin"]),
+    ("Hay que hablar con Carmen Ruiz mañana", ["Carmen Ruiz"]),
+    ("approved by Kowalczyk, Ewa on Monday", ["Kowalczyk, Ewa"]),
+    ("Tarvik Boulen said the build is fine", ["Tarvik Boulen"]),
+    ("Best regards,\nOlwen Tarrick", ["Olwen Tarrick"]),
+    ("The Green Harbour Cluster asked for a restart, see Silver Heron and Windows Server in New York", []),
+    ("Bitte Rückruf. Wenn der Suchindex nicht reagiert, hilft Die Vorlage", []),
+]
+
+
+@pytest.mark.parametrize("text,expected", NAMED)
+def test_names_in_other_settings(text, expected):
+    assert [text[i.start : i.end] for i in personal.find_items(text) if i.kind == "name"] == expected
+
+
+def test_placeholders(spark):
     rows = [(1, "lunch with Mira Kast moved to 02:25"), (2, "kudos KAST, MIRA :clap:"), (3, None), (4, "nothing"), (5, "kudos Bela Orm :clap:"), (5, "kudos Bela Orm :clap:")]
     df = spark.createDataFrame(rows, "id long, t string")
     plain = {r.row_id: r.text for r in personal.replace_items(df, "x", "id", "t").collect()}
     assert plain == {1: "lunch with [NAME] moved to 02:25", 2: "kudos [NAME] :clap:", 3: None, 4: "nothing", 5: "kudos [NAME] :clap:"}
-    table = personal.surrogate_table(personal.personal_items(df, "x", "id", "t"), b"k")
-    put = {r.row_id: r.text for r in personal.replace_items(df, "x", "id", "t", b"k", table).collect()}
+
+
+def test_surrogates_are_coreferent_distinct_and_well_formed(spark):
+    rows = [(1, "lunch with Mira Kast moved to 02:25"), (2, "kudos KAST, MIRA :clap:"), (3, None), (4, "nothing"), (5, "kudos M. Kast :clap:"), (6, "Ask Мария Иванова about it"), (7, "call +49 30 1234567 or 0049 (0)30-1234567"), (8, "IBAN DE44 5001 0517 5407 3249 31"), (9, "mail a.b@x.example or a.b at x dot example"), (10, "send the badge to N. Kastenko, Am Alten Speicher 51b, 79999 Bad Elmen")]
+    rows += [(100 + i, f"lunch with Name{chr(97 + i % 26)}{chr(97 + i // 26)} Kast moved") for i in range(300)]
+    df = spark.createDataFrame(rows, "id long, t string")
+    items = personal.personal_items(df, "x", "id", "t")
+    table = personal.surrogate_table(items, b"k").collect()
+    for kind in personal.KINDS:
+        new, old = [r.surrogate for r in table if r.kind == kind], {r.unit for r in table if r.kind == kind}
+        assert len(set(new)) == len(new) and not set(new) & old
+    put = {r.row_id: r.text for r in personal.replace_items(df, "x", "id", "t", b"k", spark.createDataFrame(table)).collect()}
     name = re.search("with (.*) moved", put[1])[1]
-    assert name != "Mira Kast" and put[4] == "nothing" and put[5] != put[2]
-    family, given = re.search("kudos (.*), (.*) :clap:", put[2]).groups()
-    assert f"{given} {family}" == name.upper()
+    given, family = name.split()
+    assert name != "Mira Kast" and put[4] == "nothing" and put[3] is None
+    assert put[2] == f"kudos {family.upper()}, {given.upper()} :clap:" and put[5] == f"kudos {given[0]}. {family} :clap:"
+    assert all(family in put[100 + i] for i in range(300)) and len({put[100 + i] for i in range(300)}) == 300
+    assert re.fullmatch(r"Ask [А-Я][а-я]+ [А-Я][а-я]+ about it", put[6]) and put[6] != rows[5][1]
+    one, other = re.fullmatch(r"call (.*) or (.*)", put[7]).groups()
+    assert re.sub(r"\D", "", one) == re.sub(r"\D", "", other.replace("(0)", ""))[2:] and one.startswith("+49 ") and other.startswith("0049 (0)")
+    iban = put[8][5:].replace(" ", "")
+    assert iban.startswith("DE") and int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1
+    mail, spelled = re.fullmatch(r"mail (\S+) or (.*)", put[9]).groups()
+    assert spelled.replace(" at ", "@").replace(" dot ", ".") == mail
+    assert re.fullmatch(r"send the badge to [A-Z]\. \w+, Am \w+ \w+ \d\db, \d{5} Bad \w+", put[10])
 
 
 def test_language_labels_and_sentences():
