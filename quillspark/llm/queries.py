@@ -105,5 +105,33 @@ def queries():
     }
 
 
+_RUNS = "list_transform(generate_series(1, len({w}) - {n} + 1), lambda i: array_to_string({w}[i:i + {n} - 1], ' '))"
+_WORDS = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}]+')"
+
+
+def _likeness_sql(rows: str) -> str:
+    """Views up to ``linked``: pairs of ids whose texts (``id, text``) have a likeness of 0.6 or more."""
+    return (
+        f"t AS (SELECT id, any_value(text) AS text FROM ({rows}) GROUP BY id), w AS (SELECT id, {_WORDS.format('text')} AS w FROM t), "
+        f"s AS (SELECT DISTINCT id, unnest({_RUNS.format(w='w', n=3)}) AS g FROM w WHERE len(w) >= 3), n AS (SELECT id, count(*) AS n FROM s GROUP BY id), "
+        "common AS (SELECT a.id AS x, b.id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.id < b.id GROUP BY 1, 2), "
+        "linked AS (SELECT x, y FROM common JOIN n p ON p.id = x JOIN n q ON q.id = y WHERE c >= 0.6 * (p.n + q.n - c))"
+    )
+
+
+_PAGE = (
+    r"u0 AS (SELECT id, any_value(sync_id) AS batch, regexp_replace(regexp_replace(trim(any_value(url)), '^[A-Za-z][A-Za-z0-9+.-]*://', ''), '#.*$', '') AS u FROM kb_documents WHERE id IS NOT NULL GROUP BY id), "
+    r"u1 AS (SELECT id, batch, u, regexp_replace(regexp_replace(lower(regexp_extract(u, '^[^/?]*')), ':(80|443)$', ''), '^www\.', '') AS host, url_decode(regexp_extract(u, '^[^/?]*([^?]*)', 1)) AS path, regexp_extract(u, '\?(.*)$', 1) AS q FROM u0 WHERE u <> ''), "
+    r"page AS (SELECT id, batch, host || regexp_replace(regexp_replace(regexp_replace(path, '/{2,}', '/', 'g'), '/(index|default)\.(html?|php|aspx?|jsp)$', '/', 'i'), '/+$', '') || '?' || "
+    r"array_to_string(list_sort(list_filter(list_transform(list_filter(string_split(q, '&'), lambda p: p <> ''), lambda p: url_decode(replace(p, '+', ' ')) || CASE WHEN contains(p, '=') THEN '' ELSE '=' END), "
+    r"lambda p: NOT regexp_matches(p, '(?i)^(utm_\w+|ref|referrer|referer|fbclid|gclid|dclid|gbraid|wbraid|msclkid|yclid|twclid|igshid|mc_cid|mc_eid|_ga|_gl|_hsenc|_hsmi|mkt_tok|campaign_id|source|src)='))), '&') AS page FROM u1)"
+)
+
+
 def oracle_sql():
-    return {}
+    return {
+        "p2_found": "WITH " + _likeness_sql("SELECT id, content AS text FROM kb_documents WHERE id IS NOT NULL AND content IS NOT NULL") + f", {_PAGE} SELECT x AS id_a, y AS id_b FROM (SELECT x, y FROM linked UNION SELECT a.id, b.id FROM page a JOIN page b ON a.page = b.page AND a.id < b.id) JOIN u0 p ON p.id = x JOIN u0 r ON r.id = y WHERE p.batch <> r.batch",
+        "p3_found": "WITH RECURSIVE " + _likeness_sql("SELECT id, coalesce(title, '') || ' ' || content AS text FROM kb_documents WHERE trim(content, E' \\t\\n\\r') <> ''") + ", e AS (SELECT x, y FROM linked UNION SELECT y, x FROM linked), r AS (SELECT x, y FROM e UNION SELECT r.x, e.y FROM r JOIN e ON e.x = r.y) SELECT x AS id_a, y AS id_b FROM r WHERE x < y",
+        "p8_found": f"WITH d AS (SELECT DISTINCT doc_id, {_WORDS.format('text')} AS w FROM documents WHERE text IS NOT NULL), i AS (SELECT DISTINCT item_id, {_WORDS.format('text')} AS w FROM eval_items WHERE text IS NOT NULL), "
+        f"dr AS (SELECT doc_id, unnest({_RUNS.format(w='w', n=12)}) AS r FROM d WHERE len(w) >= 12), ir AS (SELECT item_id, unnest({_RUNS.format(w='w', n=12)}) AS r FROM i WHERE len(w) >= 12) SELECT DISTINCT doc_id, item_id FROM dr JOIN ir USING (r)",
+    }
