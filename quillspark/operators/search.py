@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions.text import like_any_word
 from quillspark.operators import retrieval as R
+from quillspark.session import materialize
 
 
 class ChunkNotFoundError(LookupError):
@@ -95,6 +96,7 @@ def search(
         any_text = F.max(F.col("text_rank").isNotNull()).over(Window.partitionBy("request_id"))
         part = lambda c: F.coalesce(1 / (60 + F.col(c)), F.lit(0.0))
         fused = both.withColumn("score", F.round(F.when(any_text, part("vector_rank") + part("text_rank")).otherwise(1 - F.col("distance")), 12)).drop("distance")
+    fused = materialize(fused, "fused")
     boosted = R.title_boost(fused.select("request_id", "id", "score"), chunks, docs, queries).withColumnRenamed("score", "boosted")
     ranked = fused.join(boosted, ["request_id", "id"]).withColumn("title_boost", F.col("boosted") != F.col("score")).drop("score").withColumnRenamed("boosted", "score")
     if diversity > 0:

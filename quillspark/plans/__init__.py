@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("hierarchy_queries", "sql_queries", "retrieval_queries", "streaming_queries")
+MODULES = ("hierarchy_queries", "sql_queries", "retrieval_queries", "store_queries", "streaming_queries")
 
 
 def _merged(name: str) -> dict:

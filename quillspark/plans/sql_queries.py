@@ -35,19 +35,13 @@ PLANS: dict[str, str | tuple[str, str]] = {
     "src_01_export_counts": "SELECT 'documents' AS tbl, count(*) AS n FROM docs UNION ALL SELECT 'chunks', count(*) FROM chunks UNION ALL SELECT 'topics', count(*) FROM topics UNION ALL SELECT 'ratings', count(*) FROM all_ratings",
     "src_02_document_by_id": "SELECT id, title, library, url FROM docs WHERE id = 7",
     "src_03_topic_by_name": "SELECT id, name, parent_id FROM topics WHERE name LIKE 'Signed%'",
-    "src_04_parser_dispatch": (
-        "SELECT id, regexp_extract(url, '\\\\.([A-Za-z0-9]+)$', 1) AS ext, CASE WHEN lower(url) RLIKE '\\\\.(html?|php)$' THEN 'html' WHEN lower(url) RLIKE '\\\\.(md|markdown|mdx)$' THEN 'markdown' ELSE 'text' END AS parser FROM docs WHERE url IS NOT NULL",
-        "SELECT id, regexp_extract(url, '\\.([A-Za-z0-9]+)$', 1) AS ext, CASE WHEN regexp_matches(lower(url), '\\.(html?|php)$') THEN 'html' WHEN regexp_matches(lower(url), '\\.(md|markdown|mdx)$') THEN 'markdown' ELSE 'text' END AS parser FROM docs WHERE url IS NOT NULL",
-    ),
-    "src_23_repository_status": "SELECT n.id, CASE WHEN o.id IS NULL THEN 'new' WHEN o.content = n.content THEN 'unchanged' ELSE 'changed' END AS status FROM (SELECT * FROM docs WHERE id % 3 = 0) n LEFT JOIN (SELECT id, CASE WHEN id % 2 = 0 THEN content ELSE '' END AS content FROM docs WHERE id % 6 <> 3 OR id % 9 = 0) o ON o.id = n.id",
-    "src_26_channel_filter": "SELECT DISTINCT channel_id, channel_name FROM messages WHERE lower(channel_name) LIKE '%ops%' OR channel_id IS NULL",
+    "src_23_repository_status": "SELECT n.id, CASE WHEN o.url IS NULL THEN 'new' WHEN o.h = n.content_hash THEN 'unchanged' ELSE 'changed' END AS status FROM docs n LEFT JOIN (SELECT url, max(content_hash) AS h FROM docs WHERE url IS NOT NULL AND source_type = 'library' GROUP BY url) o ON o.url = n.url",
     "src_27_thread_class": "SELECT message_id, CASE WHEN thread_ts IS NULL THEN 'standalone' WHEN thread_ts = ts THEN 'parent' ELSE 'reply' END AS kind FROM messages",
     "src_28_thread_documents": (
         "SELECT channel_id, coalesce(thread_ts, ts) AS thread, count(*) AS messages, concat_ws('\\n---\\n', transform(array_sort(collect_list(struct(ts, message_id, concat('**', coalesce(user_id, 'bot'), '**:\\n', coalesce(text, '')) AS line))), x -> x.line)) AS document FROM messages GROUP BY channel_id, coalesce(thread_ts, ts)",
         "SELECT channel_id, coalesce(thread_ts, ts) AS thread, count(*) AS messages, string_agg(concat('**', coalesce(user_id, 'bot'), '**:', chr(10), coalesce(text, '')), concat(chr(10), '---', chr(10)) ORDER BY ts, message_id) AS document FROM messages GROUP BY channel_id, coalesce(thread_ts, ts)",
     ),
     "src_33_incremental_pages": f"SELECT id FROM docs WHERE updated_at > {AS_OF}",
-    "src_40_registry_entries": "SELECT library AS name, max(version) AS latest, count(*) AS docs FROM docs WHERE library IS NOT NULL AND version IS NOT NULL GROUP BY library",
     # sinks and changes
     "snk_02_url_upsert": "SELECT n.id, CASE WHEN o.url IS NULL THEN 'new' WHEN o.h = n.content_hash THEN 'unchanged' ELSE 'changed' END AS status FROM docs n LEFT JOIN (SELECT url, min(content_hash) AS h FROM docs WHERE sync_id <= 3 AND url IS NOT NULL GROUP BY url) o ON o.url = n.url WHERE n.sync_id > 3",
     "snk_03_title_length_guard": "SELECT n.id FROM docs n WHERE EXISTS (SELECT 1 FROM docs o WHERE o.title = n.title AND length(o.content) = length(n.content) AND o.id < n.id)",
@@ -63,9 +57,7 @@ PLANS: dict[str, str | tuple[str, str]] = {
     "snk_13_rating_check": "SELECT r.id, CASE WHEN r.rating IS NULL OR r.rating NOT BETWEEN 1 AND 5 THEN 'bad rating' WHEN d.id IS NULL THEN 'no document' ELSE 'ok' END AS verdict FROM all_ratings r LEFT JOIN docs d ON d.id = r.document_id",
     "snk_14_rename_topic": "SELECT id, CASE WHEN parent_id IS NULL THEN concat('Root: ', name) ELSE name END AS name FROM topics",
     "snk_16_pack_documents": "SELECT library, count(*) AS doc_count, sum(length(content)) AS chars FROM docs WHERE library IS NOT NULL GROUP BY library",
-    "snk_17_install_batches": "SELECT CAST(floor((rn - 1) / 10.0) AS INT) AS batch, count(*) AS n, min(id) AS first_id FROM (SELECT id, row_number() OVER (ORDER BY id) AS rn FROM docs) t GROUP BY CAST(floor((rn - 1) / 10.0) AS INT)",
     "snk_18_installed": "SELECT DISTINCT library AS name FROM docs WHERE library IS NOT NULL AND library NOT LIKE '%sdk'",
-    "snk_20_webhook_match": "SELECT s.id, e.event FROM syncs s JOIN (SELECT 'completed' AS status, 'document.created' AS event UNION ALL SELECT 'failed', 'sync.failed') e ON e.status = s.status",
     "snk_23_reindex_selection": f"SELECT c.id FROM chunks c JOIN docs d ON d.id = c.document_id WHERE d.updated_at < {AS_OF}",
     "snk_25_sync_state": "SELECT connector_type, connector_name, status FROM (SELECT s.*, row_number() OVER (PARTITION BY connector_type, connector_name ORDER BY id DESC) AS rn FROM syncs s) t WHERE rn = 1",
     "snk_27_add_tags": "SELECT document_id, name FROM tags UNION SELECT id, 'reviewed' FROM docs WHERE id % 4 = 0",
@@ -88,16 +80,14 @@ PLANS: dict[str, str | tuple[str, str]] = {
         "SELECT id FROM docs WHERE parse_url(url, 'HOST') = 'fennmark.example' OR parse_url(url, 'HOST') LIKE '%.fennmark.example'",
         "SELECT id FROM docs WHERE regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/:?#]+)', 1) = 'fennmark.example' OR regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/:?#]+)', 1) LIKE '%.fennmark.example'",
     ),
-    "flt_19_title_reference": "SELECT a.id, min(b.id) AS target FROM docs a JOIN docs b ON lower(a.title) = lower(b.title) AND a.id <> b.id GROUP BY a.id",
     "flt_20_recent": "SELECT id, title FROM docs ORDER BY updated_at DESC NULLS LAST, id LIMIT 50",
     "flt_21_field_checks": "SELECT id, CASE WHEN title IS NULL OR trim(title) = '' THEN 'title' WHEN url IS NOT NULL AND lower(url) NOT LIKE 'http%' THEN 'url' WHEN library IS NOT NULL AND version IS NULL THEN 'version' ELSE 'ok' END AS reason FROM docs",
-    "flt_22_stale_syncs": f"SELECT id FROM syncs WHERE started_at IS NULL OR started_at < {AS_OF}",
     "flt_25_dedup_mode": "SELECT id, CASE WHEN n > 1 AND id > first_id THEN 'skip' WHEN n > 1 THEN 'warn' ELSE 'index' END AS decision FROM (SELECT id, count(*) OVER (PARTITION BY content) AS n, min(id) OVER (PARTITION BY content) AS first_id FROM docs WHERE content IS NOT NULL) t",
     "prj_02_neighbours": "SELECT DISTINCT CASE WHEN source_id = 20 THEN target_id ELSE source_id END AS neighbour FROM links WHERE source_id = 20 OR target_id = 20",
     "prj_05_embedding_text": "SELECT c.id, concat(concat_ws(' | ', d.title, concat('Library: ', d.library), concat('Version: ', d.version)), ' | ', c.content) AS text FROM chunks c JOIN docs d ON d.id = c.document_id".replace("concat('Library: ', d.library)", "'Library: ' || d.library").replace("concat('Version: ', d.version)", "'Version: ' || d.version"),
     "prj_04_context": (
-        "SELECT document_id, concat_ws('\\n\\n', transform(array_sort(collect_list(struct(chunk_index, id, content))), x -> x.content)) AS context FROM chunks WHERE chunk_index < 3 GROUP BY document_id",
-        "SELECT document_id, string_agg(content, concat(chr(10), chr(10)) ORDER BY chunk_index, id) AS context FROM chunks WHERE chunk_index < 3 GROUP BY document_id",
+        "SELECT document_id, concat_ws('\\n\\n', transform(array_sort(collect_list(struct(chunk_index, id, content))), x -> x.content)) AS context FROM chunks GROUP BY document_id",
+        "SELECT document_id, string_agg(content, concat(chr(10), chr(10)) ORDER BY chunk_index, id) AS context FROM chunks GROUP BY document_id",
     ),
     # joins
     "join_01_chunks_documents": "SELECT c.id, d.title, d.library FROM chunks c JOIN docs d ON d.id = c.document_id",
@@ -110,21 +100,17 @@ PLANS: dict[str, str | tuple[str, str]] = {
     "join_10_band": "SELECT a.id, count(*) AS around FROM chunks a JOIN chunks b ON b.document_id = a.document_id AND abs(a.chunk_index - b.chunk_index) <= 2 AND a.id <> b.id GROUP BY a.id",
     "join_12_topic_counts": "SELECT t.id, count(d.id) AS documents FROM topics t LEFT JOIN docs d ON d.topic_id = t.id GROUP BY t.id",
     "join_16_scalar_subquery": "SELECT d.id, (SELECT round(avg(r.rating), 6) FROM ratings r WHERE r.document_id = d.id) AS avg_rating FROM docs d",
-    "join_17_overview": "SELECT (SELECT count(*) FROM docs) AS documents, (SELECT count(*) FROM chunks) AS chunks, (SELECT count(*) FROM topics) AS topics, (SELECT count(*) FROM search_log) AS searches",
+    "join_17_overview": "SELECT (SELECT count(*) FROM docs) AS documents, (SELECT count(*) FROM chunks) AS chunks, (SELECT count(*) FROM topics) AS topics, (SELECT count(*) FROM search_log) AS searches, (SELECT round(avg(latency_ms)) FROM search_log) AS latency",
     "join_18_hit_log": "SELECT s.query, d.title, count(*) AS n FROM hits h JOIN search_log s ON s.id = h.search_log_id JOIN docs d ON d.id = h.document_id GROUP BY s.query, d.title",
-    "join_20_linked_blend": "SELECT document_id, id FROM (SELECT c.document_id, c.id, row_number() OVER (PARTITION BY c.document_id ORDER BY c.chunk_index, c.id) AS rn FROM chunks c WHERE EXISTS (SELECT 1 FROM links l WHERE l.target_id = c.document_id AND l.link_type = 'related')) t WHERE rn = 1",
+    "join_20_linked_blend": "SELECT document_id, id, CAST(0.6 AS DOUBLE) AS score FROM (SELECT c.document_id, c.id, row_number() OVER (PARTITION BY c.document_id ORDER BY c.chunk_index, c.id) AS rn FROM chunks c WHERE EXISTS (SELECT 1 FROM links l WHERE l.target_id = c.document_id AND l.link_type = 'related') AND NOT EXISTS (SELECT 1 FROM hits h WHERE h.document_id = c.document_id AND h.rank = 5)) t WHERE rn = 1",
     "join_21_state_diff": "SELECT coalesce(o.id, n.id) AS id, CASE WHEN o.id IS NULL THEN 'added' WHEN n.id IS NULL THEN 'deleted' WHEN o.content_hash = n.content_hash THEN 'same' ELSE 'updated' END AS change FROM (SELECT id, content_hash FROM docs WHERE id % 7 <> 0) o FULL OUTER JOIN (SELECT id, CASE WHEN id % 11 = 0 THEN 'x' ELSE content_hash END AS content_hash FROM docs WHERE id % 5 <> 0) n ON n.id = o.id WHERE coalesce(o.id, n.id) IS NOT NULL",
-    "join_23_message_users": (
-        "SELECT message_id, u AS user_id FROM (SELECT message_id, explode(regexp_extract_all(text, '<@(U[A-Z0-9]+)>', 1)) AS u FROM messages) t",
-        "SELECT message_id, u AS user_id FROM (SELECT message_id, unnest(regexp_extract_all(text, '<@(U[A-Z0-9]+)>', 1)) AS u FROM messages) t",
-    ),
     # aggregations
     "agg_01_overview": "SELECT count(*) AS searches, round(avg(latency_ms)) AS latency, sum(CASE WHEN result_count = 0 THEN 1 ELSE 0 END) AS empty FROM search_log",
     "agg_02_popular": "SELECT d.id, count(*) AS hits FROM hits h JOIN docs d ON d.id = h.document_id GROUP BY d.id ORDER BY hits DESC, d.id LIMIT 20",
     "agg_03_top_queries": "SELECT query, count(*) AS n, round(avg(latency_ms)) AS latency FROM search_log GROUP BY query ORDER BY n DESC, query LIMIT 10",
-    "agg_04_per_day": "SELECT CAST(CAST(created_at AS DATE) AS STRING) AS day, count(*) AS n FROM search_log GROUP BY CAST(created_at AS DATE)",
-    "agg_05_bundle": "SELECT query, count(*) AS n, round(avg(result_count), 2) AS results, sum(CASE WHEN result_count = 0 THEN 1 ELSE 0 END) AS empty FROM search_log GROUP BY query",
-    "agg_06_gaps": "SELECT query, count(*) AS n FROM search_log WHERE result_count = 0 GROUP BY query ORDER BY n DESC, query LIMIT 20",
+    "agg_04_per_day": "SELECT CAST(CAST(created_at AS DATE) AS STRING) AS day, count(*) AS n FROM search_log WHERE created_at >= TIMESTAMP '2024-01-31 00:00:00' - INTERVAL '14' DAY GROUP BY CAST(created_at AS DATE)",
+    "agg_05_bundle": "SELECT 'total' AS part, 'all' AS name, count(*) AS n, round(avg(result_count), 2) AS results FROM search_log UNION ALL SELECT 'top', query, n, r FROM (SELECT query, count(*) AS n, round(avg(result_count), 2) AS r FROM search_log GROUP BY query ORDER BY n DESC, query LIMIT 10) t UNION ALL SELECT 'empty', query, n, 0.0 FROM (SELECT query, count(*) AS n FROM search_log WHERE result_count = 0 GROUP BY query ORDER BY n DESC, query LIMIT 10) u UNION ALL SELECT 'day', CAST(CAST(created_at AS DATE) AS STRING), count(*), round(avg(result_count), 2) FROM search_log WHERE created_at >= TIMESTAMP '2024-01-01 00:00:00' GROUP BY CAST(created_at AS DATE)",
+    "agg_06_gaps": "SELECT query, count(*) AS n, CAST(max(created_at) AS DATE) AS last_day FROM search_log WHERE result_count = 0 GROUP BY query ORDER BY n DESC, query LIMIT 20",
     "agg_07_rating_summary": "SELECT document_id, count(*) AS n, round(avg(rating), 6) AS average, coalesce(sum(CASE WHEN feedback IS NOT NULL THEN 1 ELSE 0 END), 0) AS comments FROM ratings GROUP BY document_id",
     "agg_08_average": "SELECT document_id, round(avg_rating, 6) AS avg_rating FROM avg_ratings",
     "agg_10_duplicate_titles": (
@@ -132,13 +118,10 @@ PLANS: dict[str, str | tuple[str, str]] = {
         "SELECT content_hash, count(*) AS n, string_agg(lpad(CAST(id AS STRING), 10, '0'), ',' ORDER BY id) AS ids FROM docs WHERE content_hash IS NOT NULL GROUP BY content_hash HAVING count(*) > 1",
     ),
     "agg_12_versions": "SELECT document_id, max(version) + 1 AS next_version, count(*) AS n FROM versions GROUP BY document_id",
-    "agg_15_corpus_stats": "SELECT count(*) AS n, round(avg(length(content)), 6) AS avg_len FROM chunks WHERE content IS NOT NULL",
-    "agg_16_sync_counters": "SELECT connector_type, sum(CASE WHEN status = 'completed' THEN 1 ELSE 0 END) AS ok, count(*) AS runs FROM syncs GROUP BY connector_type",
-    "agg_17_mrr": "SELECT round(avg(1.0 / rank), 9) AS mrr, sum(CASE WHEN rank <= 3 THEN 1 ELSE 0 END) AS hit3 FROM hits",
-    "agg_18_dashboard": "SELECT source_type, count(*) AS n, count(DISTINCT library) AS libraries FROM docs GROUP BY source_type",
+    "agg_16_sync_counters": "SELECT connector_type, sum(CASE WHEN status = 'completed' THEN 1 ELSE 0 END) AS completed, sum(CASE WHEN status = 'failed' THEN 1 ELSE 0 END) AS failed, sum(CASE WHEN status = 'running' THEN 1 ELSE 0 END) AS running, count(*) AS runs FROM syncs GROUP BY connector_type",
+    "agg_18_dashboard": "SELECT (SELECT count(*) FROM docs) AS documents, (SELECT count(*) FROM chunks) AS chunks, (SELECT count(*) FROM topics) AS topics, (SELECT count(*) FROM ratings) AS ratings, (SELECT count(*) FROM links) AS links, (SELECT count(DISTINCT name) FROM tags) AS tags",
     # windows, sorts
     "win_02_cap_per_document": "SELECT id FROM (SELECT id, row_number() OVER (PARTITION BY document_id ORDER BY length(content) DESC, id) AS rn FROM chunks) t WHERE rn <= 2",
-    "win_03_page_score": "SELECT id, round(greatest(0.0, 1 - 0.1 * (rn - 1)), 6) AS score FROM (SELECT id, row_number() OVER (ORDER BY id) AS rn FROM docs WHERE id <= 30) t",
     "win_04_overlap": "SELECT id, concat(coalesce(right(lag(content) OVER (PARTITION BY document_id ORDER BY chunk_index, id), 20), ''), '|', content) AS text FROM chunks",
     "win_05_context": "SELECT id, lag(id) OVER (PARTITION BY document_id ORDER BY chunk_index, id) AS before_id, lead(id) OVER (PARTITION BY document_id ORDER BY chunk_index, id) AS after_id FROM chunks",
     "win_06_newest_versions": "SELECT document_id, version FROM (SELECT document_id, version, row_number() OVER (PARTITION BY document_id ORDER BY version DESC) AS rn FROM versions) t WHERE rn <= 3",
@@ -146,10 +129,8 @@ PLANS: dict[str, str | tuple[str, str]] = {
     "srt_01_page": "SELECT id, title FROM docs ORDER BY id LIMIT 20 OFFSET 40",
     "srt_02_graph_nodes": "SELECT d.id FROM docs d LEFT JOIN avg_ratings a ON a.document_id = d.id ORDER BY a.avg_rating DESC NULLS LAST, d.updated_at DESC NULLS LAST, d.id LIMIT 200",
     "srt_03_sync_history": "SELECT id, connector_name FROM syncs ORDER BY id DESC LIMIT 20",
-    "srt_04_lowest_priority": "SELECT library, min(sync_id) AS registry FROM docs WHERE library IS NOT NULL GROUP BY library",
     "srt_05_ratings": "SELECT id, rating FROM ratings WHERE document_id = 5 ORDER BY created_at DESC, id",
     "srt_06_version_history": "SELECT version FROM versions WHERE document_id = 11 ORDER BY version DESC",
-    "rnk_12_registry_score": "SELECT name, score FROM (SELECT library AS name, max(CASE WHEN library = 'fennmark-core' THEN 100 WHEN library LIKE '%fennmark%' THEN 50 ELSE 0 END) + max(CASE WHEN lower(title) LIKE '%fennmark%' THEN 20 ELSE 0 END) AS score FROM docs WHERE library IS NOT NULL GROUP BY library) t WHERE score > 0",
     # duplicates, graph, sets
     "dup_01_hash": ("SELECT id, sha2(content, 256) AS h FROM docs WHERE content IS NOT NULL", "SELECT id, sha256(content) AS h FROM docs WHERE content IS NOT NULL"),
     "dup_02_exact_groups": ("SELECT sha2(content, 256) AS h, count(*) AS n, min(id) AS first_id FROM docs WHERE content IS NOT NULL GROUP BY sha2(content, 256) HAVING count(*) > 1", "SELECT sha256(content) AS h, count(*) AS n, min(id) AS first_id FROM docs WHERE content IS NOT NULL GROUP BY sha256(content) HAVING count(*) > 1"),
@@ -159,12 +140,8 @@ PLANS: dict[str, str | tuple[str, str]] = {
     ),
     "grf_02_edges": "SELECT CAST(id AS STRING) AS source, topic_id AS target, 'belongs_to_topic' AS type FROM docs WHERE topic_id IS NOT NULL UNION ALL SELECT CAST(document_id AS STRING), name, 'has_tag' FROM tags UNION ALL SELECT CAST(source_id AS STRING), CAST(target_id AS STRING), link_type FROM links",
     "grf_06_links_in_out": "SELECT d.id, (SELECT count(*) FROM links l WHERE l.source_id = d.id) AS outgoing, (SELECT count(*) FROM links m WHERE m.target_id = d.id) AS incoming FROM docs d",
-    "grf_08_message_links": (
-        "SELECT message_id, explode(regexp_extract_all(text, '<(https?://[^|> ]+)[|>]', 1)) AS href FROM messages",
-        "SELECT message_id, unnest(regexp_extract_all(text, '<(https?://[^|> ]+)[|>]', 1)) AS href FROM messages",
-    ),
     "grf_10_topic_children": "SELECT p.id AS parent, c.id AS child FROM topics c JOIN topics p ON p.id = c.parent_id",
-    "set_02_concat": "SELECT id FROM docs WHERE id < 50 UNION ALL SELECT document_id FROM tags WHERE document_id < 50",
+    "set_02_concat": "SELECT id FROM docs UNION ALL SELECT document_id FROM tags",
     "set_03_distinct": "SELECT DISTINCT library FROM docs",
     "set_04_difference": "SELECT id FROM docs EXCEPT SELECT document_id FROM hits",
     "set_05_containment": "SELECT document_id FROM tags WHERE name IN ('manual', 'short') GROUP BY document_id HAVING count(DISTINCT name) = 2",
@@ -179,7 +156,6 @@ PLANS: dict[str, str | tuple[str, str]] = {
         "SELECT DISTINCT version, version RLIKE '^[0-9]+\\\\.[0-9]+\\\\.[0-9]+$' AS valid, regexp_replace(version, '\\\\.[0-9]+$', '.x') AS line FROM docs WHERE version IS NOT NULL",
         "SELECT DISTINCT version, regexp_matches(version, '^[0-9]+\\.[0-9]+\\.[0-9]+$') AS valid, regexp_replace(version, '\\.[0-9]+$', '.x') AS line FROM docs WHERE version IS NOT NULL",
     ),
-    "str_06_rate_window": "SELECT user_id, CAST(floor(CAST(hour(ts) * 3600 + minute(ts) * 60 + second(ts) AS DOUBLE) / 60) AS INT) AS minute_of_day, count(*) AS n FROM {events} GROUP BY user_id, CAST(floor(CAST(hour(ts) * 3600 + minute(ts) * 60 + second(ts) AS DOUBLE) / 60) AS INT) HAVING count(*) > 1",
 }
 
 
