@@ -212,6 +212,7 @@ class History:
     def _deliver(self, batch: DataFrame, cut: Scratch) -> tuple[DataFrame, list]:
         batch = batch.where("id is not null").select(F.col("id").cast("bigint").alias("id"), F.col("batch").cast("bigint").alias("batch"), "title", "content", "url")
         batch = batch.join(self._read("records", batch, "id").select("id"), "id", "left_anti")
+        batch = batch.repartition(2 * self.spark.sparkContext.defaultParallelism, "id")  # as many tasks as cores for the shingles
         facts = batch.select("id", "batch", F.xxhash64(F.lower(F.trim("title"))).alias("title"), F.col("title").isNull().alias("untitled"), _pages("url").alias("address"), "content")
         facts = facts.select("id", "batch", F.when(~F.col("untitled"), F.col("title")).alias("title"), F.when(F.col("address").isNotNull(), F.xxhash64("address")).alias("page"), "content")
         feats = cut(shingle_features(facts, F.col("content"), ["id", "batch", "title", "page"], 3, self.threshold), "batch").dropDuplicates(["id"])
