@@ -181,7 +181,7 @@ def nearest_neighbours(
     smallest ids can be anyone's neighbours. Each class lies in one cell of every table and also looks into
     some other cells; candidates are compared exactly, and what one finds counts for both.
 
-    Rows of a cell, tables and probes are chosen by ``plan_hash`` so that the expected recall is ``target``: 0.97 of
+    Rows of a cell, tables and probes are chosen by ``plan_hash`` so that the expected recall is ``target``: 0.99 of
     pairs right at ``least``, or else 0.93 of the true neighbours of ``sample`` vectors. Every vector is indexed. A cell with more
     than ``block`` rows is cut into sub-cells that every query of the cell visits. Vectors that cannot be compared have
     no rows, an empty table gives none.
@@ -194,7 +194,7 @@ def nearest_neighbours(
     members = materialize(vectors.join(classes, "vec").select("id", "cid"), "members")
     if plan is None:
         likely = np.array([least]) if least is not None else likely_similarities(classes, k, dim, sample)
-        plan = plan_hash(dim, count, likely if len(likely) else np.array([1.0]), target or (0.97 if least is not None else 0.93))
+        plan = plan_hash(dim, count, likely if len(likely) else np.array([1.0]), target or (0.99 if least is not None else 0.93))
     floor = -2.0 if least is None else least
     tables, probes = plan.tables, plan.probes
     hasher = CrossPolytope(dim, count, tables, plan.cell_rows)
