@@ -72,8 +72,9 @@ def shared_dir(spark: SparkSession) -> str:
 
 def drop_path(spark: SparkSession, path: str) -> None:
     """Delete a file or folder, also after its session has stopped."""
-    if path.startswith("file:"):
-        shutil.rmtree(re.sub("^file:/*", "/", path), ignore_errors=True)
+    here = re.sub("^file:/*", "/", path)
+    if path.startswith("file:") or (path.startswith("/") and os.path.isdir(here)):
+        shutil.rmtree(here, ignore_errors=True)
         return
     try:
         jvm = SparkContext._jvm
