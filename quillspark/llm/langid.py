@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 from quillspark.session import shared_dir, spread
 
+#: Raised whenever fitting changes, so that weights of another way of fitting are not taken for its own.
+FIT = 2
 LANGS = ("en", "de", "fr", "es", "pt", "nl")
 #: Other spellings of the labels (three-letter codes and names); regions are cut off first.
 SPELLINGS = {
@@ -285,7 +287,7 @@ def train(samples: DataFrame, weak: DataFrame | None = None, weak_rows: int = 70
         place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
         some = weak.where(F.col("lang").isin(*LANGS) & F.col("text").isNotNull()).select("lang", "text", "doc_id", place.alias("nth"))
         more = some.where(F.col("nth") <= F.when(F.col("lang") == "en", 3 * weak_rows).otherwise(weak_rows)).orderBy("lang", "nth").select("lang", "text").collect()
-    content = json.dumps([hidden, [(r["lang"], r["text"]) for r in rows], [(r["lang"], r["text"]) for r in more]])
+    content = json.dumps([FIT, hidden, [(r["lang"], r["text"]) for r in rows], [(r["lang"], r["text"]) for r in more]])
     path = f"{shared_dir(samples.sparkSession)}/langid-{hashlib.sha256(content.encode()).hexdigest()[:24]}"
     return _kept(samples.sparkSession, path, hidden) or _keep(samples.sparkSession, path, _fitted(rows, more, hidden))
 
