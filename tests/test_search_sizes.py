@@ -9,6 +9,7 @@ from quillspark.plans import all_queries
 
 NAMES = [
     "rnk_01_search",
+    "rnk_03_bm25_stemmed",
 ]
 
 
