@@ -10,6 +10,7 @@ from quillspark.plans import all_queries
 NAMES = [
     "rnk_01_search",
     "rnk_03_bm25_stemmed",
+    "rnk_06_diversity",
 ]
 
 
