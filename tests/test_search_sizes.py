@@ -11,6 +11,7 @@ NAMES = [
     "rnk_01_search",
     "rnk_03_bm25_stemmed",
     "rnk_06_diversity",
+    "udf_08_contexts",
 ]
 
 
