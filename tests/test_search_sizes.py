@@ -12,6 +12,7 @@ NAMES = [
     "rnk_03_bm25_stemmed",
     "rnk_06_diversity",
     "udf_08_contexts",
+    "agg_17_quality",
 ]
 
 
