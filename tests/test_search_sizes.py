@@ -13,6 +13,7 @@ NAMES = [
     "rnk_06_diversity",
     "udf_08_contexts",
     "agg_17_quality",
+    "prj_01_explained",
 ]
 
 
