@@ -14,6 +14,7 @@ NAMES = [
     "udf_08_contexts",
     "agg_17_quality",
     "prj_01_explained",
+    "rnk_04_fusion",
 ]
 
 
