@@ -15,6 +15,7 @@ NAMES = [
     "agg_17_quality",
     "prj_01_explained",
     "rnk_04_fusion",
+    "rnk_03_bm25",
 ]
 
 
