@@ -16,6 +16,7 @@ NAMES = [
     "prj_01_explained",
     "rnk_04_fusion",
     "rnk_03_bm25",
+    "rnk_01_search_stemmed",
 ]
 
 
