@@ -17,6 +17,7 @@ NAMES = [
     "rnk_04_fusion",
     "rnk_03_bm25",
     "rnk_01_search_stemmed",
+    "rnk_05_title_boost",
 ]
 
 
