@@ -12,6 +12,7 @@ from test_search_sizes import _shuffled, folder  # noqa: F401
 
 NAMES = [
     "rnk_01_search",
+    "rnk_04_fusion",
 ]
 
 
