@@ -15,7 +15,7 @@ from pyspark.sql.types import StringType
 
 from quillspark.llm.similar import pair_up, pairs_of_postings, shingle_features, verified_links
 from quillspark.operators.components import connected_components
-from quillspark.session import Scratch, materialize, shared_dir
+from quillspark.session import Scratch, materialize, shared_dir, write
 
 #: Query parameters that only tell where a visitor came from.
 _VISITOR = re.compile(r"^(?:utm_\w+|ref|referrer|referer|fbclid|gclid|dclid|gbraid|wbraid|msclkid|yclid|twclid|igshid|mc_cid|mc_eid|_ga|_gl|_hsenc|_hsmi|mkt_tok|campaign_id|source|src)$", re.I)
@@ -89,7 +89,7 @@ TABLES = {
     "members": ("class bigint, id bigint, batch bigint, title bigint, page bigint", "class"),
     "pages": ("page bigint, id bigint, batch bigint, title bigint, class bigint", "page"),
     "sets": ("set_a bigint, set_b bigint, n int, class bigint", "set_a"),
-    "classes": ("class bigint, n int, bitmap array<bigint>, shingles array<bigint>", "class"),
+    "classes": ("class bigint, n int, bitmap array<bigint>, content string", "class"),
     "keys": ("gram bigint, doc bigint", "gram"),
     "links": ("a bigint, b bigint, likeness double", "a"),
     "merges": ("node bigint, into bigint", "node"),
@@ -105,7 +105,7 @@ class History:
 
     - a class is a set of shingles; a record with a known set joins its class and compares nothing;
     - a new class probes the table of keys, of which every class has the same number (``similar.band_keys``);
-      sets are fetched for the candidates alone;
+      texts are kept, and their sets computed again for the candidates alone;
     - pages are blocked by the address without its spelling.
 
     Clusters are a union-find mapping: a record is its own representative until a row of ``merges`` says into which it
@@ -152,7 +152,7 @@ class History:
         columns, by = TABLES[name]
         part = f"delivery={self.state['number']:06d}-{uuid.uuid4().hex[:6]}"
         rows = df.select(*[c.split()[0] for c in columns.split(", ")]).withColumn("bucket", self._bucket(by))
-        rows.repartition("bucket").write.partitionBy("bucket").parquet(f"{self.folder}/{name}/{part}")
+        write(rows.repartition("bucket"), f"{self.folder}/{name}/{part}", "bucket")
         self._added.append((name, part))
         return self._read(name, parts=[part])
 
@@ -212,10 +212,10 @@ class History:
     def _deliver(self, batch: DataFrame, cut: Scratch) -> tuple[DataFrame, list]:
         batch = batch.where("id is not null").select(F.col("id").cast("bigint").alias("id"), F.col("batch").cast("bigint").alias("batch"), "title", "content", "url")
         batch = batch.join(self._read("records", batch, "id").select("id"), "id", "left_anti")
-        batch = batch.repartition(2 * self.spark.sparkContext.defaultParallelism, "id")  # as many tasks as cores for the shingles
+        batch = batch.repartition(2 * self.spark.sparkContext.defaultParallelism, "id").dropDuplicates(["id"])  # as many tasks as cores for the shingles
         facts = batch.select("id", "batch", F.xxhash64(F.lower(F.trim("title"))).alias("title"), F.col("title").isNull().alias("untitled"), _pages("url").alias("address"), "content")
         facts = facts.select("id", "batch", F.when(~F.col("untitled"), F.col("title")).alias("title"), F.when(F.col("address").isNotNull(), F.xxhash64("address")).alias("page"), "content")
-        feats = cut(shingle_features(facts, F.col("content"), ["id", "batch", "title", "page"], 3, self.threshold), "batch").dropDuplicates(["id"])
+        feats = cut(shingle_features(facts, F.col("content"), ["id", "batch", "title", "page", "content"], 3, self.threshold, ("bitmap", "grams")), "batch")
         sets = ["set_a", "set_b", "n"]
         classes = feats.where("n > 0").groupBy(*sets).agg(F.min("id").alias("class"))
         known = self._read("sets", classes, "set_a").withColumnRenamed("class", "was")
@@ -226,13 +226,15 @@ class History:
         fresh = feats.join(classes.where("new").select(F.col("class").alias("id")), "id", "left_semi").withColumnRenamed("id", "class")
         self._write("classes", fresh)
         keys = self._write("keys", fresh.select(F.explode("grams").alias("gram"), F.col("class").alias("doc")))
+        cut.drop(feats)
         # candidates: pairs of a new class with any class that share keys
         probed = cut(self._read("keys", keys, "gram").join(keys.select("gram").distinct(), "gram", "left_semi"), "probed")
         postings = keys.withColumn("new", F.lit(True)).unionByName(probed.withColumn("new", F.lit(False)))
         candidates = cut(pairs_of_postings(postings, keys.count() + probed.count(), cut=cut).select("a", "b"), "candidates")
         ends = candidates.select(F.explode(F.array("a", "b")).alias("class")).distinct()
         bodies = self._read("classes", ends, "class", self.state["parts"]["classes"] + [p for n, p in self._added if n == "classes"])
-        links = cut(verified_links(candidates, bodies, "class", self.threshold, cut), "links")
+        sets_of = lambda ends: shingle_features(bodies.select(F.col("class").alias("k"), "content").join(ends, "k", "left_semi"), F.col("content"), ["k"], 3, self.threshold, ("shingles",))
+        links = cut(verified_links(candidates, bodies, "class", self.threshold, sets_of, cut), "links")
         both = self._write("links", links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"), "likeness")))
         # pairs of records: a new one with members of its class or a linked one, and with those of its page
         member_parts = self.state["parts"]["members"] + [self._part("members", new.where("class is not null"))]

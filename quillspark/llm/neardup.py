@@ -20,15 +20,23 @@ def near_duplicate_groups(df: DataFrame, id_col: str, text: Column, threshold: f
     words than ``width`` are left out; repeated rows of an id count once (of differing rows, the one with the
     smallest set hash). An empty table gives an empty result; other columns are ignored.
     """
-    feats = shingle_features(df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), text.alias("_t")), F.col("_t"), ["id"], width, threshold)
+    texts = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), text.alias("_t"))
     with Scratch(df.sparkSession) as cut:
-        feats = cut(feats.where("n > 0"), "features")
+        feats = cut(shingle_features(texts, F.col("_t"), ["id"], width, threshold, ("bitmap", "grams")).where("n > 0"), "features")
         one = feats.groupBy("id").agg(F.min(F.struct("set_a", "set_b", "n")).alias("s"))
         classes = one.groupBy("s").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
         members = materialize(one.join(classes, "s").select("id", "rep", "copies", F.col("s.set_a").alias("set_a"), F.col("s.set_b").alias("set_b")), "members")
         reps = members.where("id = rep").select("id", "set_a", "set_b")
         rep_feats = cut(feats.join(reps, ["id", "set_a", "set_b"], "left_semi").dropDuplicates(["id"]), "rep-features")
-        links = materialize(verified_links(candidate_pairs(rep_feats, "id", cut=cut), rep_feats, "id", threshold, cut), "links")
+        cut.drop(feats)
+
+        def sets(ends: DataFrame) -> DataFrame:
+            """Shingles are computed again for the candidates alone: for all texts they are several times their compressed size."""
+            cut.drop(rep_feats)
+            again = shingle_features(texts.join(ends.withColumnRenamed("k", "id"), "id", "left_semi"), F.col("_t"), ["id"], width, threshold, ("shingles",))
+            return again.join(reps, ["id", "set_a", "set_b"], "left_semi").dropDuplicates(["id"]).withColumnRenamed("id", "k")
+
+        links = materialize(verified_links(candidate_pairs(rep_feats, "id", cut=cut), rep_feats, "id", threshold, sets, cut), "links")
     label = connected_components(links, "a", "b")
     degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("others"))
     return (

@@ -65,17 +65,18 @@ def _bitmaps(flat: np.ndarray, ends: np.ndarray) -> pa.Array:
     return _lists(np.packbits(bits, axis=1).view("u8").ravel(), np.arange(0, count * BITMAP + 1, BITMAP))
 
 
-def shingle_features(df: DataFrame, text: Column, keep: list[str], width: int = 3, threshold: float = 0.6) -> DataFrame:
+def shingle_features(df: DataFrame, text: Column, keep: list[str], width: int = 3, threshold: float = 0.6, add: tuple[str, ...] = ("bitmap", "shingles", "grams")) -> DataFrame:
     """Per row of ``df``: its ``keep`` columns, number and set of shingles, and its join keys.
 
-    Adds ``n`` (distinct shingles), ``set_a``/``set_b`` (a 128-bit hash of the set), ``shingles`` and
+    Adds ``n`` (distinct shingles), ``set_a``/``set_b`` (a 128-bit hash of the set) and, of ``add``, ``bitmap``, ``shingles`` and
     ``grams`` (the band keys to join on). A null text, and one with fewer words than ``width``, has n = 0 and no keys.
     """
     bands = bands_for(threshold)
     spark = df.sparkSession
     source = df.select(*keep, text.alias("_text"))
     fields = {f.name: f for f in source.schema.fields}
-    schema = ", ".join(f"{k} {fields[k].dataType.simpleString()}" for k in keep) + ", n int, set_a bigint, set_b bigint, bitmap array<bigint>, shingles array<bigint>, grams array<bigint>"
+    schema = ", ".join(f"{k} {fields[k].dataType.simpleString()}" for k in keep) + ", n int, set_a bigint, set_b bigint" + "".join(f", {x} array<bigint>" for x in add)
+    of = {"bitmap": _bitmaps, "shingles": _lists, "grams": lambda flat, offs: _lists(*band_keys(flat, offs, bands))}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -86,10 +87,9 @@ def shingle_features(df: DataFrame, text: Column, keep: list[str], width: int =
                 flat, offs = sh.distinct(*sh.grams(hashes, ends, width), count)
                 size = np.diff(offs)
                 a, b = sh.set_hash(flat, offs)
-                keys, kends = band_keys(flat, offs, bands)
                 cols = [batch.column(i) for i in range(batch.num_columns - 1)]
-                cols += [pa.array(size, pa.int32()), pa.array(a), pa.array(b), _bitmaps(flat, offs), _lists(flat, offs), _lists(keys, kends)]
-                yield pa.RecordBatch.from_arrays(cols, names=[*keep, "n", "set_a", "set_b", "bitmap", "shingles", "grams"])
+                cols += [pa.array(size, pa.int32()), pa.array(a), pa.array(b), *[of[x](flat, offs) for x in add]]
+                yield pa.RecordBatch.from_arrays(cols, names=[*keep, "n", "set_a", "set_b", *add])
 
     return source.mapInArrow(run, schema)
 
@@ -181,24 +181,22 @@ def pairs_of_postings(postings: DataFrame, total: int, fragment_rows: int = 1_50
     return parts.groupBy("a", "b").agg(F.sum("c").alias("shared"))
 
 
-def verified_links(pairs: DataFrame, features: DataFrame, key: str, threshold: float, cut: Callable = materialize) -> DataFrame:
+def verified_links(pairs: DataFrame, features: DataFrame, key: str, threshold: float, sets: Callable, cut: Callable = materialize) -> DataFrame:
     """The pairs whose likeness reaches ``threshold``, as ``(a, b, likeness)``: exact, on the shingle sets.
 
-    Bitmaps of the sets bound the overlap from above (sets whose bitmaps differ in d bits have at most half of
-    their sizes' sum less d in common), so only pairs that may reach the threshold bring their sets along.
+    Bitmaps of the sets (``n`` and ``bitmap`` of ``features``) bound the overlap from above (sets whose bitmaps differ in d bits have at
+    most half of their sizes' sum less d in common). Only of the pairs that may reach the threshold are the sets needed: ``sets`` gives,
+    for a table of the ids ``k`` in these pairs, ``(k, shingles)``; ``features`` are not read any more by then.
     """
-    spark = pairs.sparkSession
     ids = cut(pairs.select("a", "b"), "pairs")
     bits = features.select(F.col(key).alias("k"), "n", *[F.col("bitmap")[i].alias(f"m{i}") for i in range(BITMAP)])
     joined = ids.join(bits.toDF("a", "na", *[f"x{i}" for i in range(BITMAP)]), "a").join(bits.toDF("b", "nb", *[f"y{i}" for i in range(BITMAP)]), "b")
     apart = sum((F.bit_count(F.col(f"x{i}").bitwiseXOR(F.col(f"y{i}"))) for i in range(BITMAP)), F.lit(0))
     most = (F.col("na") + F.col("nb") - apart) / 2
     fits = (F.least("na", "nb") >= F.lit(threshold) * F.greatest("na", "nb")) & (most >= F.lit(threshold / (1 + threshold)) * (F.col("na") + F.col("nb")))
-    ids = cut(joined.where(fits).select("a", "b"), "bounded")
-    tasks = partitions_for(ids.count(), 50_000, spark)
-    side = features.select(F.col(key).alias("k"), "n", "shingles")
-    wide = ids.join(side.toDF("a", "na", "sa"), "a").join(side.toDF("b", "nb", "sb"), "b")
-    wide = wide.where("na > 0").repartition(tasks, "a", "b")
+    ids = cut(joined.where(fits & (F.col("na") > 0)).select("a", "b"), "bounded")
+    body = cut(sets(ids.select(F.explode(F.array("a", "b")).alias("k")).distinct()).select("k", "shingles"), "sets")
+    wide = ids.join(body.toDF("a", "sa"), "a").join(body.toDF("b", "sb"), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
