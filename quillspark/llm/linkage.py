@@ -233,8 +233,8 @@ class History:
         candidates = cut(pairs_of_postings(postings, keys.count() + probed.count(), cut=cut).select("a", "b"), "candidates")
         ends = candidates.select(F.explode(F.array("a", "b")).alias("class")).distinct()
         bodies = self._read("classes", ends, "class", self.state["parts"]["classes"] + [p for n, p in self._added if n == "classes"])
-        sets_of = lambda ends: shingle_features(bodies.select(F.col("class").alias("k"), "content").join(ends, "k", "left_semi"), F.col("content"), ["k"], 3, self.threshold, ("shingles",))
-        links = cut(verified_links(candidates, bodies, "class", self.threshold, sets_of, cut), "links")
+        texts_of = lambda ends: bodies.select(F.col("class").alias("k"), F.col("content").alias("text")).join(ends, "k", "left_semi")
+        links = cut(verified_links(candidates, bodies, "class", self.threshold, texts_of, cut, 3), "links")
         both = self._write("links", links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"), "likeness")))
         # pairs of records: a new one with members of its class or a linked one, and with those of its page
         member_parts = self.state["parts"]["members"] + [self._part("members", new.where("class is not null"))]

@@ -181,12 +181,30 @@ def pairs_of_postings(postings: DataFrame, total: int, fragment_rows: int = 1_50
     return parts.groupBy("a", "b").agg(F.sum("c").alias("shared"))
 
 
-def verified_links(pairs: DataFrame, features: DataFrame, key: str, threshold: float, sets: Callable, cut: Callable = materialize) -> DataFrame:
+def _sets_of(texts: list[str | None], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The shingle set of each text, flat, and their offsets."""
+    parts = []
+    for at in range(0, len(texts), SLICE):
+        some = texts[at : at + SLICE]
+        parts.append(sh.distinct(*sh.grams(*sh.word_hashes(some), width), len(some)))
+    sizes = [np.diff(offs) for _, offs in parts]
+    return np.concatenate([np.empty(0, "u8"), *[flat for flat, _ in parts]]), np.concatenate([[0], np.cumsum(np.concatenate([np.empty(0, "i8"), *sizes]))]).astype("i8")
+
+
+def _rows_of(flat: np.ndarray, offs: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sets number ``at``, one after the other, and for each value its place in ``at``."""
+    size = offs[at + 1] - offs[at]
+    start = np.cumsum(size) - size
+    return flat[np.repeat(offs[at] - start, size) + np.arange(size.sum())], np.repeat(np.arange(len(at)), size)
+
+
+def verified_links(pairs: DataFrame, features: DataFrame, key: str, threshold: float, sets: Callable, cut: Callable = materialize, width: int = 3) -> DataFrame:
     """The pairs whose likeness reaches ``threshold``, as ``(a, b, likeness)``: exact, on the shingle sets.
 
     Bitmaps of the sets (``n`` and ``bitmap`` of ``features``) bound the overlap from above (sets whose bitmaps differ in d bits have at
     most half of their sizes' sum less d in common). Only of the pairs that may reach the threshold are the sets needed: ``sets`` gives,
-    for a table of the ids ``k`` in these pairs, ``(k, shingles)``; ``features`` are not read any more by then.
+    for a table of the ids ``k`` in these pairs, ``(k, shingles)``, or ``(k, text)``: texts are moved as they are, a third of their sets,
+    and their runs of ``width`` words are hashed beside the pairs; ``features`` are not read any more by then.
     """
     ids = cut(pairs.select("a", "b"), "pairs")
     bits = features.select(F.col(key).alias("k"), "n", *[F.col("bitmap")[i].alias(f"m{i}") for i in range(BITMAP)])
@@ -195,26 +213,32 @@ def verified_links(pairs: DataFrame, features: DataFrame, key: str, threshold: f
     most = (F.col("na") + F.col("nb") - apart) / 2
     fits = (F.least("na", "nb") >= F.lit(threshold) * F.greatest("na", "nb")) & (most >= F.lit(threshold / (1 + threshold)) * (F.col("na") + F.col("nb")))
     ids = cut(joined.where(fits & (F.col("na") > 0)).select("a", "b"), "bounded")
-    body = cut(sets(ids.select(F.explode(F.array("a", "b")).alias("k")).distinct()).select("k", "shingles"), "sets")
+    body = sets(ids.select(F.explode(F.array("a", "b")).alias("k")).distinct())
+    of = "text" if "text" in body.columns else "shingles"
+    body = cut(body.select("k", of), "sets")
     wide = ids.join(body.toDF("a", "sa"), "a").join(body.toDF("b", "sb"), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = []
-            for name in ("sa", "sb"):
-                column = batch.column(batch.schema.get_field_index(name))
-                sets.append((column.flatten().to_numpy(), column.offsets.to_numpy() - column.offsets[0].as_py()))
-            (fa, oa), (fb, ob) = sets
-            count = batch.num_rows
-            doc = np.concatenate([np.repeat(np.arange(count), np.diff(oa)), np.repeat(np.arange(count), np.diff(ob))])
-            values = np.concatenate([fa, fb])
-            order = np.lexsort((values, doc))
-            values, doc = values[order], doc[order]
-            twice = (values[1:] == values[:-1]) & (doc[1:] == doc[:-1])
-            common = np.bincount(doc[1:][twice], minlength=count)
-            likeness = common / (np.diff(oa) + np.diff(ob) - common)
-            fits = likeness >= threshold
-            a, b = (batch.column(batch.schema.get_field_index(x)).to_numpy()[fits] for x in "ab")
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(likeness[fits])], names=["a", "b", "likeness"])
+            a, b, sa, sb = (batch.column(batch.schema.get_field_index(x)) for x in ("a", "b", "sa", "sb"))
+            a, b, count = a.to_numpy(), b.to_numpy(), batch.num_rows
+            if of == "text":
+                _, first, at = np.unique(np.concatenate([a, b]), return_index=True, return_inverse=True)  # the text of an id once a batch
+                flat, offs = _sets_of(pa.concat_arrays([sa, sb]).take(pa.array(first)).to_pylist(), width)
+            else:
+                ends = [x.offsets.to_numpy().astype("i8") - x.offsets[0].as_py() for x in (sa, sb)]
+                flat, offs, at = np.concatenate([sa.flatten().to_numpy(), sb.flatten().to_numpy()]), np.concatenate([ends[0], ends[0][-1] + ends[1][1:]]), np.arange(2 * count)
+            size = offs[at + 1] - offs[at]
+            for start in range(0, count, SLICE):
+                some = np.arange(start, min(start + SLICE, count))
+                both = [_rows_of(flat, offs, at[some + side]) for side in (0, count)]
+                values, doc = (np.concatenate(x) for x in zip(*both))
+                order = np.lexsort((values, doc))
+                values, doc = values[order], doc[order]
+                twice = (values[1:] == values[:-1]) & (doc[1:] == doc[:-1])
+                common = np.bincount(doc[1:][twice], minlength=len(some))
+                likeness = common / (size[some] + size[some + count] - common)
+                near = likeness >= threshold
+                yield pa.RecordBatch.from_arrays([pa.array(a[some][near]), pa.array(b[some][near]), pa.array(likeness[near])], names=["a", "b", "likeness"])
 
     return wide.select("a", "b", "sa", "sb").mapInArrow(run, "a bigint, b bigint, likeness double")

@@ -41,3 +41,23 @@ def test_near_duplicates_keep_no_sets_of_all_texts(spark, texts, monkeypatch):
 def test_history_keeps_texts_not_sets(spark, texts, tmp_path):
     History(spark, f"file://{tmp_path}/h").accept(texts)
     assert _bytes(f"{tmp_path}/h/classes") < ROWS * WORDS * 6  # the sets are 8 bytes a word
+
+
+def test_history_moves_texts_of_candidates_not_sets(spark, monkeypatch):
+    rng = random.Random(5)
+    rows = []
+    for i in range(0, ROWS, 2):
+        words = [rng.choice(VOCABULARY[:200]) for _ in range(WORDS)]
+        rows += [(i, 1, "t", " ".join(words), None), (i + 1, 2, "t", " ".join(words[:-20]), None)]
+    most, call = {}, Scratch.__call__
+
+    def spied(self, df, name="cut"):
+        out = call(self, df, name)
+        most[name] = max(most.get(name, 0), _bytes(self.paths[-1]))
+        return out
+
+    monkeypatch.setattr(Scratch, "__call__", spied)
+    found = History(spark).accept(spark.createDataFrame(rows, "id long, batch long, title string, content string, url string")).collect()
+    assert sorted((r.id_a, r.id_b) for r in found) == [(i, i + 1) for i in range(0, ROWS, 2)]
+    assert all(abs(r.likeness - (WORDS - 22) / (WORDS - 2)) < 0.02 for r in found)
+    assert max(most.values()) < ROWS * WORDS * 5, most  # their sets are 8 bytes a word
